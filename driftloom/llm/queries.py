@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import ledger, mixing, packing, percentiles, spans, topn
+from driftloom.llm import ledger, mixing, packing, pairs, percentiles, spans, topn, truncation
 from driftloom.llm.sql import ORACLE
 from driftloom.llm.tokens import token_count
 from driftloom.session import cut, table
@@ -19,6 +19,35 @@ TOP_N, TOP_SCORES = 10, ("local_aa_score", "primary_axis_dot_score")
 CAPACITY = 2049
 
 
+SOURCE = ("source_1", "source_2")
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "fixed_responses_validated")
+    source = [F.col("response_source.mode"), F.col("response_source.model")]
+    return cut(truncation.features(rows, "response_id", "generated_response", "prompt_text", "response_word_count", source))
+
+
+def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "fixed_responses_validated"), _features(spark, sf_dir), "generated_response", SOURCE)
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"source_1": "mode", "source_2": "model"})
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truncated(spark, sf_dir).where("cut").select(F.col("key").alias("response_id"))
+
+
+def p1_source_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(truncation.cut_shares(_truncated(spark, sf_dir), SOURCE))
+
+
+def p1_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(truncation.significant_lengths(_features(spark, sf_dir), SOURCE))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans.pairs(table(spark, sf_dir, "sampled_sequences"), "sample_id", "token_ids", SHARED_IDS)
     return found.select(F.col("key_a").alias("sample_id_a"), F.col("key_b").alias("sample_id_b"))
@@ -33,6 +62,16 @@ def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.coverage(table(spark, sf_dir, "sampled_sequences"), "sample_id", "token_ids", SHARED_IDS).withColumnRenamed("key", "sample_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "fixed_responses_validated")
+    found = pairs.defects(rows, _truncated(spark, sf_dir), "response_id", "prompt_text", "generated_response")
+    return found.withColumnRenamed("key", "response_id")
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_found(spark, sf_dir).groupBy("defect").agg(F.count(F.lit(1)).alias("responses"))
+
+
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger after three generations of the table; each generation's ledger is persisted before the next is drawn."""
     rows = table(spark, sf_dir, "sampled_sequences").where(F.col("sample_id").isNotNull())
@@ -97,4 +136,4 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_stretches, p2_coverage, p5_sample, p6_percentiles, p6_percentiles_of_days, p7_found, p7_top_rows, p8_bins, p8_fill, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_source_shares, p1_limits, p2_found, p2_stretches, p2_coverage, p3_found, p3_counts, p5_sample, p6_percentiles, p6_percentiles_of_days, p7_found, p7_top_rows, p8_bins, p8_fill, p9_mix, p9_shares)}
