@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import ledger, mixing, packing, pairs, percentiles, spans, topn, truncation
+from driftloom.llm import ledger, mixing, packing, pairs, percentiles, pii, spans, topn, truncation
 from driftloom.llm.sql import ORACLE
 from driftloom.llm.tokens import token_count
 from driftloom.session import cut, table
@@ -136,4 +136,23 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_source_shares, p1_limits, p2_found, p2_stretches, p2_coverage, p3_found, p3_counts, p5_sample, p6_percentiles, p6_percentiles_of_days, p7_found, p7_top_rows, p8_bins, p8_fill, p9_mix, p9_shares)}
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.learn(spark, table(spark, sf_dir, "documents"), "text", table(spark, sf_dir, "given_names"), "given_name")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = _lexicon(spark, sf_dir)
+    found = pii.mentions(spark, table(spark, sf_dir, "documents"), "doc_id", "text", lexicon)
+    return pii.confirmed(cut(found), lexicon).select("doc_id", "pii_type", "pii_text").distinct()
+
+
+def p10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p10_found(spark, sf_dir)
+    return found.groupBy("pii_type").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("doc_id").alias("documents"))
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(spark, table(spark, sf_dir, "documents"), "doc_id", "text", _lexicon(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_source_shares, p1_limits, p2_found, p2_stretches, p2_coverage, p3_found, p3_counts, p5_sample, p6_percentiles, p6_percentiles_of_days, p7_found, p7_top_rows, p8_bins, p8_fill, p9_mix, p9_shares, p10_found, p10_counts, p10_redacted)}

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.session import cut
+
 K = 16
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _MASK = (1 << 64) - 1
@@ -145,7 +147,7 @@ def windows(df: DataFrame, key: str, ids: str, length: int) -> DataFrame:
 
 def shared_windows(df: DataFrame, key: str, ids: str, length: int) -> DataFrame:
     """(key, at), one row per window that occurs under another key too."""
-    rows = windows(df, key, ids, length).select("h1", "h2", "key", "at").distinct()
+    rows = cut(windows(df, key, ids, length).select("h1", "h2", "key", "at").distinct())
     groups = rows.groupBy("h1", "h2").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h1", "h2")
     return rows.join(groups, ["h1", "h2"], "left_semi").select("key", "at").distinct()
 
@@ -168,7 +170,7 @@ def coverage(df: DataFrame, key: str, ids: str, length: int) -> DataFrame:
 
 def pairs(df: DataFrame, key: str, ids: str, length: int) -> DataFrame:
     """(key_a, key_b), key_a < key_b, once per pair of keys that share at least ``length`` consecutive ids."""
-    rows = windows(df, key, ids, length).select("h1", "h2", "key", "before").distinct()
+    rows = cut(windows(df, key, ids, length).select("h1", "h2", "key", "before").distinct())
     begins = rows.groupBy("h1", "h2").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("before").alias("b_lo"), F.max("before").alias("b_hi"), F.count_if(F.col("before").isNull()).alias("starts"))
     begins = begins.where("lo < hi AND (starts > 0 OR b_lo < b_hi)").select("h1", "h2")
     rows = rows.join(begins, ["h1", "h2"], "left_semi")
