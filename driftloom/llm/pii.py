@@ -48,8 +48,8 @@ _FLUSH = 400_000
 _CAP = r"(?:[OD]['’])?[A-ZÀ-ÖØ-Þ]\w+(?:[-’'][A-ZÀ-ÖØ-Þ]\w+)*"
 # Particles of surnames.
 _PARTICLE = r"(?:(?:de la|de las|de los|van der|van den|van de|von der|von dem|de|da|do|dos|di|du|del|della|der|den|van|von|zu|al|el|bin|ibn|ter|le|la|af|av) )"
-_PAIR = re.compile(rf"(?<![\w@./+-])({_CAP})(?=(,?) (?:[A-Z]\. )?{_PARTICLE}?({_CAP})(?!\.? ?\d|\. [a-z\d]))")
-_INITIAL = re.compile(rf"(?<![\w.])[A-Z]\. {_PARTICLE}?({_CAP})(?!\.? ?\d)")
+#: A capitalised word after an initial, or two capitalised words with a blank or comma between them: (word after initial, first, comma, second).
+_PAIR = re.compile(rf"(?<![\w@./+-])(?:[A-Z]\. {_PARTICLE}?({_CAP})(?!\.? ?\d)|({_CAP})(?=(,?) (?:[A-Z]\. )?{_PARTICLE}?({_CAP})(?!\.? ?\d|\. [a-z\d])))")
 #: Stands for the given name behind an initial.
 _ANY_GIVEN = "~"
 # Titles and greetings, which no name begins with.
@@ -125,13 +125,24 @@ def terms_of(token: str) -> list[str]:
     return [p for part in _SPLIT.split(bare) if (p := _PREFIX.sub("", part).lower()) and p.isalpha()]
 
 
-#: Tokens that may belong to a number of a person: signs, separators and at least three digits, or letters before digits.
-_NUMBER_TOKEN = re.compile(r"[^\w+(]*(?:[+(]|\w{0,12}[=:;>\"][+(]?)?(?:\d[\d().\-/]{2,}[A-Z]?|[A-Z]{1,2}\d{3,}[\w-]*|[A-Z]{2}|\d\d\)?)(?![\w=:])")
+#: Tokens that may belong to a number of a person: a sign or trunk prefix, groups with separators, letters before digits.
+_NUMBER_TOKEN = re.compile(
+    r"(?<![\w.])(?!\d{4}-\d\d-\d\dT)(?:[+(]\d|0\d{2,4}(?![\w.=:-])|\d{1,8}[-/.]\d{2,8}[-/.)]\d|\d{3}[-/]\d{4,}|\d{6}-\d{5}|0\d{2}/\d{4,}|\d{8}[A-Z]|[A-Z]{1,2}\d{3,}[\w-]*|[A-Z]{2}(?![\w=:]))"
+)
+#: Groups of digits with blanks between them.
+_SPACED = re.compile(r"\d{2,4} \d{2,5}(?![\w.])")
+
+
+def _number_lines(text: str, tokens: Iterable[str]) -> list[tuple[int, int]]:
+    return _lines(text, tokens, 0, [m.start() for m in _SPACED.finditer(text)])
 
 
-def _lines(text: str, tokens: Iterable[str], more: int = 0) -> list[tuple[int, int]]:
-    """Bounds of the lines (and ``more`` lines after each) that hold one of the tokens, in order and joined where they touch."""
+def _lines(text: str, tokens: Iterable[str], more: int = 0, places: Iterable[int] = ()) -> list[tuple[int, int]]:
+    """Bounds of the lines (and ``more`` lines after each) that hold one of the tokens or places, in order and joined where they touch."""
     bounds = set()
+    for at in places:
+        hi = text.find("\n", at)
+        bounds.add((text.rfind("\n", 0, at) + 1, hi if hi >= 0 else len(text)))
     for token in tokens:
         at = text.find(token)
         while at >= 0:
@@ -186,9 +197,9 @@ def count_terms(df: DataFrame, text: str) -> DataFrame:
                     rows["w", t, ""] += n
                     if token[:1].islower():
                         low["w", t, ""] += n
-            for (a, comma, b), n in pairs.items():
-                for x in terms_of(a) or [_ANY_GIVEN]:
-                    for y in terms_of(b):
+            for (alone, a, comma, b), n in pairs.items():
+                for x in [_ANY_GIVEN] if alone else terms_of(a):
+                    for y in terms_of(alone or b):
                         rows["v" if comma else "p", y if comma else x, x if comma else y] += n
             for (t, role), n in near.items():
                 rows["c", t, str(role)] += n
@@ -201,8 +212,7 @@ def count_terms(df: DataFrame, text: str) -> DataFrame:
                 tokens = t.split()
                 words.update(tokens)
                 pairs.update(_PAIR.findall(t))
-                pairs.update((_ANY_GIVEN, "", b) for b in _INITIAL.findall(t))
-                for lo, hi in _lines(t, [x for x in set(tokens) if _NUMBER_TOKEN.match(x)]):
+                for lo, hi in _number_lines(t, [x for x in set(tokens) if not x.isalpha() and _NUMBER_TOKEN.search(x) or len(x) == 2 and x.isupper()]):
                     line = t[lo:hi]
                     for role, start, end in _strong(line):
                         near.update((w, role) for w in set(_around(line, start, end)))
@@ -316,10 +326,10 @@ class _Roles(dict):
                 wanted |= _CALL_ROMANCE
         if "C/" in token:
             wanted |= _CALL_ROMANCE
-        if _NUMBER_TOKEN.match(token):
+        if _NUMBER_TOKEN.search(token):
             wanted |= _CALL_NUMBER
-            if _POSTCODE.match(token):
-                wanted |= _CALL_POSTCODE
+        if _POSTCODE.match(token):
+            wanted |= _CALL_POSTCODE
         return wanted
 
     def calling(self, tokens: set[str]) -> dict[str, int]:
@@ -506,12 +516,12 @@ def find(text: str | None, roles: _Roles) -> list[tuple[int, int, str, list[str]
         return []
     spans = [(a, b, "email", []) for a, b in _mails(text)]
     called = roles.calling(set(text.split()))
+    for lo, hi in _number_lines(text, [t for t, w in called.items() if w & _CALL_NUMBER]):
+        spans += [(lo + a, lo + b, kind, []) for kind, a, b in _numbers(text[lo:hi], roles)]
     if called:
         seen = 0
         for wanted in called.values():
             seen |= wanted
-        for lo, hi in _lines(text, [t for t, w in called.items() if w & _CALL_NUMBER]):
-            spans += [(lo + a, lo + b, kind, []) for kind, a, b in _numbers(text[lo:hi], roles)]
         if seen & (_CALL_STREET | _CALL_BOX | _CALL_POSTCODE):
             for lo, hi in _lines(text, [t for t, w in called.items() if w & (_CALL_STREET | _CALL_BOX | _CALL_POSTCODE | _CALL_ROMANCE)], 1):
                 spans += [(lo + a, lo + b, "address", []) for a, b in _addresses(text[lo:hi], seen)]
