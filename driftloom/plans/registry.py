@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftloom.plans import integrity
+from driftloom.plans import corpus_queries, geometry_queries, governance_queries, integrity, score_queries, window_queries
 
-MODULES = (integrity,)
+MODULES = (window_queries, corpus_queries, geometry_queries, score_queries, governance_queries, integrity)
 
 
 def queries() -> dict:
