@@ -86,8 +86,8 @@ def _word(token: str) -> str:
     return _DIGITS.sub("0", _WORD_END.sub("", token).lower())[:40]
 
 
-def contexts(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(word before, word, ends the text bare, ends a sentence or line) for each word of a text."""
+def contexts(text: str) -> Iterator[tuple[str, str, int, int, int]]:
+    """(word before, word, ends the text bare, ends a sentence or line, ends a list item that others follow) for each word of a text."""
     lines = text.split("\n")
     for n, line in enumerate(lines):
         tokens, before = line.split(), "^"
@@ -97,7 +97,8 @@ def contexts(text: str) -> Iterator[tuple[str, str, int, int]]:
                 continue
             last = i == len(tokens) - 1
             marked = _WORD_END.search(token) is not None
-            yield before, word, int(last and n == len(lines) - 1 and not marked), int(marked or last and n < len(lines) - 1)
+            inner = last and n < len(lines) - 1
+            yield before, word, int(last and not inner and not marked), int(marked or inner), int(inner and not marked and _LIST.match(line) is not None)
             before = word
 
 
@@ -182,31 +183,32 @@ def features(df: DataFrame, key: str, text: str, prompt: str | None, word_count:
 
 
 def context_counts(df: DataFrame, text: str) -> DataFrame:
-    """(before, last, n, ends, stops) over every word of every text that is not blank; repeated texts of the table count each."""
+    """(before, last, n, ends, stops, items) over every word of every text that is not blank; repeated texts of the table count each."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[str, str], list[int]] = {}
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame([(b, w, *c) for (b, w), c in held.items()], columns=["before", "last", "n", "ends", "stops"])
+            return pd.DataFrame([(b, w, *c) for (b, w), c in held.items()], columns=["before", "last", "n", "ends", "stops", "items"])
 
         for pdf in frames:
             for t in pdf[text]:
                 if is_blank(t):
                     continue
-                for before, word, ends, stops in contexts(core_of(t)[0]):
-                    c = held.setdefault((before, word), [0, 0, 0])
+                for before, word, ends, stops, items in contexts(core_of(t)[0]):
+                    c = held.setdefault((before, word), [0, 0, 0, 0])
                     c[0] += 1
                     c[1] += ends
                     c[2] += stops
+                    c[3] += items
             if len(held) > _FLUSH:
                 yield out()
                 held.clear()
         if held:
             yield out()
 
-    counts = df.select(F.col(text).alias(text)).mapInPandas(run, "before string, last string, n long, ends long, stops long")
-    return counts.groupBy("before", "last").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("stops").alias("stops"))
+    counts = df.select(F.col(text).alias(text)).mapInPandas(run, "before string, last string, n long, ends long, stops long, items long")
+    return counts.groupBy("before", "last").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("stops").alias("stops"), F.sum("items").alias("items"))
 
 
 def going_on(candidates: DataFrame, counts: DataFrame) -> DataFrame:
@@ -219,6 +221,7 @@ def going_on(candidates: DataFrame, counts: DataFrame) -> DataFrame:
         F.sum(F.when(own, F.col("n") - F.col("ends")).otherwise(F.col("n"))).alias("goes_on"),
         F.sum(F.when(own, F.col("ends")).otherwise(0)).alias("ends"),
         F.sum(F.when(own, F.col("stops")).otherwise(0)).alias("stops"),
+        F.sum(F.when(own, F.col("items")).otherwise(0)).alias("items"),
         F.sum(F.when(own, F.col("n")).otherwise(0)).alias("n_own"),
     )
 
@@ -255,10 +258,11 @@ def truncated(df: DataFrame, feats: DataFrame, text: str, source: Sequence[str])
     share = ends / F.greatest(ends + on, F.lit(1))
     known = F.when(F.col("words") <= 5, share >= 0.5).when(doubt, (share >= 0.9) & (ends >= 3)).otherwise((share >= 0.5) & (ends >= 2))
     stops = (F.coalesce("stops", F.lit(0)) >= 2) & (F.col("stops") >= 0.005 * F.col("n_own"))
-    complete = F.when(F.col("kind") == "item", known | stops & ~F.col("debris")).otherwise(known)
+    items = F.coalesce("items", F.lit(0)) >= 2
+    complete = F.when(F.col("kind") == "item", known | (stops | items) & ~F.col("debris")).otherwise(known)
     bare = F.col("kind").isin("bare", "item") & ~complete & ~F.col("echo")
     single = (F.col("kind") == "single") & F.col("debris") & ~F.col("echo")
-    return rows.withColumn("cut", ~F.col("blank") & ((F.col("kind") == "open") | bare | single)).drop("_limits", "goes_on", "ends", "stops", "n_own")
+    return rows.withColumn("cut", ~F.col("blank") & ((F.col("kind") == "open") | bare | single)).drop("_limits", "goes_on", "ends", "stops", "items", "n_own")
 
 
 def cut_shares(rows: DataFrame, source: Sequence[str]) -> DataFrame:
