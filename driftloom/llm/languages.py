@@ -42,7 +42,7 @@ _SCRIPTS = (("ru", "Ѐ", "ӿ"), ("ko", "가", "힣"), ("el", "Ͱ", "Ͽ"), ("ar",
 
 def script_of(text: str) -> str | None:
     """The language whose script most letters of a text are in."""
-    if text.isascii():
+    if text.isascii() or max(text) < "Ͱ":
         return None
     letters = sum(c.isalpha() for c in text)
     kana = sum("぀" <= c <= "ヿ" for c in text)
