@@ -67,7 +67,7 @@ _DIGIT = re.compile(r"\d")
 # --- numbers -------------------------------------------------------------------------------------------------------
 # Shapes of numbers of documents and registers that nothing else has.
 _ID = re.compile(
-    r"(?<![\w.+/=-])(?:[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]{2}\d{7}|[A-Z]{2} \d{3} \d{4}|[A-CEGHJ-PR-TW-Z][A-Z] ?\d\d ?\d\d ?\d\d ?[A-D]|\d{8}[A-HJ-NP-TV-Z]|[XYZ]\d{7}[A-HJ-NP-TV-Z]|\d{3}\.\d{3}\.\d{3}-\d\d|\d\d \d{3} \d{3} \d{3}|\d{6}-\d{5})(?![\w-]|[.:/]\d| \d)"
+    r"(?<![\w.+/=-])(?:[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]{2}\d{7}|[A-Z]{2} \d{3} \d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|\d{8}[A-HJ-NP-TV-Z]|[XYZ]\d{7}[A-HJ-NP-TV-Z]|\d{3}\.\d{3}\.\d{3}-\d\d|\d\d \d{3} \d{3} \d{3}|\d{6}-\d{5})(?![\w-]|[.:/]\d| \d)"
 )
 # The shape of social security numbers, which other counts share.
 _ID_SHARED = re.compile(r"(?<![\w.+/-])\d{3}([- ])\d\d\1\d{4}(?![\w-]|[.:/]\d)")
@@ -232,18 +232,18 @@ def disclosing_terms(spark: SparkSession, counts: DataFrame, given: DataFrame, g
     ``counts`` is used several times and should be materialised."""
     words = counts.where("kind = 'w'").select(F.col("a").alias("term"), "n", "low")
     pairs = counts.where("kind IN ('p', 'v')").groupBy(F.col("a").alias("first"), F.col("b").alias("last")).agg(F.sum("n").alias("n"))
-    total = words.agg(F.sum("n").alias("total"))  # one row
+    total = words.agg(F.sum("n")).first()[0] or 0
     known = given.select(F.explode(F.split(F.lower(F.col(given_column)), r"[-\s]+")).alias("term")).where("term <> ''").unionByName(spark.createDataFrame([(_ANY_GIVEN,)], "term string")).distinct()
     givens = known
     titles = spark.createDataFrame([(t,) for t in sorted(TITLES)], "term string")
 
     def scored(hits: DataFrame) -> DataFrame:
-        """(term, disclosure, bits) over the words' own counts."""
-        rate = hits.agg(F.sum("hits").alias("_all")).crossJoin(total)  # one row
-        rows = hits.join(words, "term", "left").crossJoin(F.broadcast(rate))
+        """(term, disclosure, bits) over the words' own counts; the corpus rate is one number."""
+        rate = (hits.agg(F.sum("hits")).first()[0] or 0) / max(total, 1)
+        rows = hits.join(words, "term", "left")
         rows = rows.withColumn("n", F.greatest(F.coalesce("n", F.lit(0)), "hits")).withColumn("low", F.coalesce("low", F.lit(0)))
         rows = rows.withColumn("disclosure", F.col("hits") / F.col("n"))
-        return rows.withColumn("bits", F.log2(F.col("disclosure") * F.col("total") / F.col("_all")))
+        return rows.withColumn("bits", F.log2(F.col("disclosure") / F.lit(max(rate, 1e-300))))
 
     def telling(rows: DataFrame) -> DataFrame:
         return rows.where((F.col("disclosure") >= DISCLOSURE) & (F.col("bits") >= BITS) & (F.col("low") <= 0.8 * F.col("n")))
