@@ -28,6 +28,10 @@ from driftloom.llm.tokens import RANKS, token_count
 from driftloom.session import cut
 
 
+#: A source is spread over at most so many shards, which bounds what the driver plans; beyond, shards grow.
+MAX_SHARDS = 4096
+
+
 def source_key(source: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.col(source) if isinstance(source, str) else source)), r"[\s\-]+", "_")
 
@@ -76,7 +80,7 @@ def mix(spark: SparkSession, texts: DataFrame, targets: DataFrame, seed: int = 1
     total = most if total is None else min(total, most)
     size = max(1, total // blocks)
     quota = sainte_lague(shares, total // size)
-    shards = max(1, -(-max(have.values(), default=0) // shard_tokens))
+    shards = min(MAX_SHARDS, max(1, -(-max(have.values(), default=0) // shard_tokens)))
     sharded = held.withColumn("shard", F.pmod(F.xxhash64("text_id"), F.lit(shards)).cast("int"))
     plan = []
     by_shard: dict[str, dict[int, int]] = {}
