@@ -63,7 +63,7 @@ def scatter(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
 def decompose(flat: np.ndarray, centred: bool, components: int) -> tuple[str, int, np.ndarray, np.ndarray]:
     """(skip reason or '', n, energies, directions) of summed scatter; energies over all directions, greatest first."""
     dim = int((np.sqrt(4 * len(flat) - 3) - 1) / 2)
-    n, total, gram = int(flat[0]), flat[1 : dim + 1], flat[dim + 1 :].reshape(dim, dim)
+    n, total, gram = int(round(flat[0])), flat[1 : dim + 1], flat[dim + 1 :].reshape(dim, dim)
     if n < 2:
         return "too_few_records", n, np.zeros(0), np.zeros((0, dim))
     if centred:
