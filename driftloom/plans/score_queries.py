@@ -39,7 +39,7 @@ def scalar_stats(spark, sf_dir):
     ranked = hist.withColumn("upto", F.sum("n").over(by.orderBy("loss").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(by))
     at = F.floor(F.col("all") / 2)
     medians = ranked.where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)).select("layer", F.col("loss").alias("_median"))
-    rest = rows.groupBy("layer").agg(F.count(x).alias("count"), F.min(x).alias("least"), F.avg(x).alias("mean"), F.max(x).alias("greatest"), S.deviation(x).alias("deviation"))
+    rest = rows.groupBy("layer").agg(F.count(x).alias("count"), F.min(x).alias("least"), S.exact_mean(x).alias("mean"), F.max(x).alias("greatest"), S.deviation(x).alias("deviation"))
     return rest.join(medians, "layer").select("layer", "count", *_r(least=F.col("least"), mean=F.col("mean"), upper_median=F.col("_median"), greatest=F.col("greatest"), deviation=F.col("deviation")))
 
 
@@ -53,14 +53,14 @@ def describe_median(spark, sf_dir):
 def axis_summary(spark, sf_dir):
     rows = _axis_rows(spark, sf_dir).where(V.is_finite(F.col("score")))
     x = F.col("score")
-    return rows.groupBy("axis_name").agg(F.count(x).alias("count"), *_r(least=F.min(x), mean=F.avg(x), greatest=F.max(x), positive_share=S.positive_share(x)))
+    return rows.groupBy("axis_name").agg(F.count(x).alias("count"), *_r(least=F.min(x), mean=S.exact_mean(x), greatest=F.max(x), positive_share=S.positive_share(x)))
 
 
 def window_score_summary(spark, sf_dir):
     """Per window and over all, for the finite cosines."""
     x = F.col("local_aa_score")
     rows = _scores(spark, sf_dir).where(V.is_finite(x) & F.col("window_id").isNotNull())
-    out = rows.cube("window_id").agg(F.count(x).alias("count"), *_r(least=F.min(x), mean=F.avg(x), greatest=F.max(x), deviation=S.deviation(x)))
+    out = rows.cube("window_id").agg(F.count(x).alias("count"), *_r(least=F.min(x), mean=S.exact_mean(x), greatest=F.max(x), deviation=S.deviation(x)))
     return out.withColumn("window_id", F.coalesce("window_id", F.lit("(all)")))
 
 
@@ -82,7 +82,7 @@ def score_agreement(spark, sf_dir):
     """Agreement of both runs per axis over all keys that both have."""
     a, b = F.col("reference"), F.col("candidate")
     d = F.abs(b - a)
-    rows = _runs(spark, sf_dir).groupBy("axis_name").agg(F.count(F.lit(1)).alias("records"), F.avg(d).alias("mean_d"), F.max(d).alias("max_d"), F.sqrt(F.avg(d * d)).alias("rmse"), S.pearson(a, b).alias("pearson"), F.avg(((a >= 0) == (b >= 0)).cast("double")).alias("sign"), F.every(d <= TOLERANCE).alias("passed"))
+    rows = _runs(spark, sf_dir).groupBy("axis_name").agg(F.count(F.lit(1)).alias("records"), S.exact_mean(d).alias("mean_d"), F.max(d).alias("max_d"), F.sqrt(F.avg(d * d)).alias("rmse"), S.pearson(a, b).alias("pearson"), F.avg(((a >= 0) == (b >= 0)).cast("double")).alias("sign"), F.every(d <= TOLERANCE).alias("passed"))
     return rows.select("axis_name", "records", *_r(mean_absolute_delta=F.col("mean_d"), max_absolute_delta=F.col("max_d"), rmse=F.col("rmse"), pearson=F.col("pearson"), sign_agreement=F.col("sign")), "passed")
 
 
@@ -94,7 +94,7 @@ def batch_invariance(spark, sf_dir):
     keys = ["sample_id", "checkpoint_revision", "layer"]
     both = g.groupBy(*keys).agg(*(F.abs(F.max_by(c, "score_id") - F.min_by(c, "score_id")).alias(c) for c in SCORES))
     long = both.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("d")) for c in SCORES))).alias("x")).select("x.*")
-    return long.groupBy("metric").agg(F.count(F.lit(1)).alias("records"), *_r(max_delta=F.max("d"), mean_delta=F.avg("d")), F.every(F.col("d") <= TOLERANCE).alias("passed"))
+    return long.groupBy("metric").agg(F.count(F.lit(1)).alias("records"), *_r(max_delta=F.max("d"), mean_delta=S.exact_mean(F.col("d"))), F.every(F.col("d") <= TOLERANCE).alias("passed"))
 
 
 def _ranked(df, by, column, out):
@@ -204,7 +204,7 @@ def sequence_loss(spark, sf_dir):
     """Mean over a sequence's finite losses, and per window the sum of these means."""
     g = _scores(spark, sf_dir).where("sample_id IS NOT NULL AND window_id IS NOT NULL")
     per = g.groupBy("window_id", "sample_id").agg((F.sum(F.when(V.is_finite(F.col("loss")), F.col("loss")).otherwise(0.0)) / F.greatest(F.count_if(V.is_finite(F.col("loss"))), F.lit(1))).alias("mean"))
-    return per.groupBy("window_id").agg(F.count(F.lit(1)).alias("sequences"), F.round(F.sum("mean"), 4).alias("loss"))
+    return per.groupBy("window_id").agg(F.count(F.lit(1)).alias("sequences"), F.sum(F.col("mean").cast("decimal(38,10)")).cast("double").alias("loss"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -218,22 +218,22 @@ ax AS (SELECT score_id, sample_id, checkpoint_revision, layer, unnest(map_keys(m
 _CORR = "CASE WHEN count(*) >= 2 AND stddev_pop({0}) * stddev_pop({1}) > 1e-15 THEN covar_pop({0}, {1}) / (stddev_pop({0}) * stddev_pop({1})) END"
 
 ORACLE = {
-    "scalar_stats": _S + """ SELECT layer, count(*) AS count, round(min(loss), 6) AS least, round(avg(loss), 6) AS mean, round(list_sort(list(loss))[count(*) // 2 + 1], 6) AS upper_median, round(max(loss), 6) AS greatest,
+    "scalar_stats": _S + """ SELECT layer, count(*) AS count, round(min(loss), 6) AS least, round(CAST(sum(CAST(loss AS DECIMAL(38,6))) AS DOUBLE) / count(loss), 6) AS mean, round(list_sort(list(loss))[count(*) // 2 + 1], 6) AS upper_median, round(max(loss), 6) AS greatest,
 round(coalesce(stddev_samp(loss), 0), 6) AS deviation FROM s WHERE isfinite(loss) GROUP BY layer""",
     "describe_median": """SELECT response_source.model AS model, count(response_char_count) AS count, min(response_char_count) AS least, round(median(response_char_count), 6) AS median, round(avg(response_char_count), 6) AS mean, max(response_char_count) AS greatest
 FROM (SELECT DISTINCT * FROM fixed_responses_validated) GROUP BY 1""",
-    "axis_summary": _A + " SELECT axis_name, count(*) AS count, round(min(score), 6) AS least, round(avg(score), 6) AS mean, round(max(score), 6) AS greatest, round(avg(CASE WHEN score > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS positive_share FROM ax WHERE isfinite(score) GROUP BY 1",
-    "window_score_summary": _S + """ SELECT coalesce(window_id, '(all)') AS window_id, count(*) AS count, round(min(local_aa_score), 6) AS least, round(avg(local_aa_score), 6) AS mean, round(max(local_aa_score), 6) AS greatest, round(coalesce(stddev_samp(local_aa_score), 0), 6) AS deviation
+    "axis_summary": _A + " SELECT axis_name, count(*) AS count, round(min(score), 6) AS least, round(CAST(sum(CAST(score AS DECIMAL(38,6))) AS DOUBLE) / count(score), 6) AS mean, round(max(score), 6) AS greatest, round(avg(CASE WHEN score > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS positive_share FROM ax WHERE isfinite(score) GROUP BY 1",
+    "window_score_summary": _S + """ SELECT coalesce(window_id, '(all)') AS window_id, count(*) AS count, round(min(local_aa_score), 6) AS least, round(CAST(sum(CAST(local_aa_score AS DECIMAL(38,6))) AS DOUBLE) / count(local_aa_score), 6) AS mean, round(max(local_aa_score), 6) AS greatest, round(coalesce(stddev_samp(local_aa_score), 0), 6) AS deviation
 FROM s WHERE isfinite(local_aa_score) AND window_id IS NOT NULL GROUP BY CUBE (window_id)""",
     "top_bottom": _S + """, t AS (SELECT score_id, local_aa_score FROM s WHERE isfinite(local_aa_score))
 SELECT * FROM (SELECT *, 'top' AS side FROM t ORDER BY local_aa_score DESC, score_id LIMIT 20) UNION ALL SELECT * FROM (SELECT *, 'bottom' AS side FROM t ORDER BY local_aa_score, score_id LIMIT 20)""",
     "score_agreement": _A + """, r AS (SELECT axis_name, arg_min(score, score_id) AS a, arg_max(score, score_id) AS b FROM ax WHERE isfinite(score) AND sample_id IS NOT NULL GROUP BY sample_id, checkpoint_revision, layer, axis_name)
-SELECT axis_name, count(*) AS records, round(avg(abs(b - a)), 6) AS mean_absolute_delta, round(max(abs(b - a)), 6) AS max_absolute_delta, round(sqrt(avg((b - a) * (b - a))), 6) AS rmse, round(""" + _CORR.format("a", "b") + """, 6) AS pearson,
+SELECT axis_name, count(*) AS records, round(CAST(sum(CAST(abs(b - a) AS DECIMAL(38,6))) AS DOUBLE) / count(abs(b - a)), 6) AS mean_absolute_delta, round(max(abs(b - a)), 6) AS max_absolute_delta, round(sqrt(avg((b - a) * (b - a))), 6) AS rmse, round(""" + _CORR.format("a", "b") + """, 6) AS pearson,
 round(avg(CASE WHEN (a >= 0) = (b >= 0) THEN 1.0::DOUBLE ELSE 0 END), 6) AS sign_agreement, bool_and(abs(b - a) <= 1e-3) AS passed FROM r GROUP BY 1""",
     "batch_invariance": _S + """, g AS (SELECT * FROM s WHERE sample_id IS NOT NULL AND isfinite(local_aa_score) AND isfinite(primary_axis_dot_score) AND isfinite(loss)),
 d AS (SELECT """ + ", ".join(f"abs(arg_max({c}, score_id) - arg_min({c}, score_id)) AS {c}" for c in SCORES) + """ FROM g GROUP BY sample_id, checkpoint_revision, layer),
 l AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS metric, {c} AS d FROM d" for c in SCORES) + """)
-SELECT metric, count(*) AS records, round(max(d), 6) AS max_delta, round(avg(d), 6) AS mean_delta, bool_and(d <= 1e-3) AS passed FROM l GROUP BY 1""",
+SELECT metric, count(*) AS records, round(max(d), 6) AS max_delta, round(CAST(sum(CAST(d AS DECIMAL(38,6))) AS DOUBLE) / count(d), 6) AS mean_delta, bool_and(d <= 1e-3) AS passed FROM l GROUP BY 1""",
     "method_comparison": _S + """, t AS (SELECT layer, local_aa_score AS a, primary_axis_dot_score AS b FROM s WHERE isfinite(local_aa_score) AND isfinite(primary_axis_dot_score)),
 r AS (SELECT *, rank() OVER (PARTITION BY layer ORDER BY a) + (count(*) OVER (PARTITION BY layer, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY layer ORDER BY b) + (count(*) OVER (PARTITION BY layer, b) - 1) / 2.0::DOUBLE AS rb FROM t)
 SELECT layer, count(*) AS records, round(""" + _CORR.format("a", "b") + ", 6) AS pearson, round(" + _CORR.format("ra", "rb") + """, 6) AS spearman, round(avg(CASE WHEN (a >= 0) = (b >= 0) THEN 1.0::DOUBLE ELSE 0 END), 6) AS sign_agreement FROM r GROUP BY layer""",
@@ -258,5 +258,5 @@ SELECT x.check AS "check", CASE WHEN x.check = 'score_repeated' THEN r ELSE x.ro
 s AS (SELECT name, 'all' AS scope FROM n UNION ALL SELECT name, 'upper_half' FROM n, m WHERE i >= (most + 1) // 2 UNION ALL SELECT name, 'every_second' FROM n WHERE i % 2 = 0)
 SELECT scope, count(*) AS parameters, sha256(string_agg(name, chr(10) ORDER BY name)) AS scope_hash FROM s GROUP BY 1""",
     "sequence_loss": _S + """, p AS (SELECT window_id, sample_id, sum(CASE WHEN isfinite(loss) THEN loss ELSE 0 END) / greatest(count(*) FILTER (isfinite(loss)), 1) AS m FROM s WHERE sample_id IS NOT NULL AND window_id IS NOT NULL GROUP BY ALL)
-SELECT window_id, count(*) AS sequences, round(sum(m), 4) AS loss FROM p GROUP BY 1""",
+SELECT window_id, count(*) AS sequences, CAST(sum(CAST(m AS DECIMAL(38,10))) AS DOUBLE) AS loss FROM p GROUP BY 1""",
 }
