@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -140,21 +141,21 @@ def _number_lines(text: str, tokens: Iterable[str]) -> list[tuple[int, int]]:
 def _lines(text: str, tokens: Iterable[str], more: int = 0, places: Iterable[int] = ()) -> list[tuple[int, int]]:
     """Bounds of the lines (and ``more`` lines after each) that hold one of the tokens or places, in order and joined where they touch."""
     bounds = set()
+    done = -1
     for at in places:
-        hi = text.find("\n", at)
-        bounds.add((text.rfind("\n", 0, at) + 1, hi if hi >= 0 else len(text)))
+        if at > done:
+            done = text.find("\n", at)
+            done = done if done >= 0 else len(text)
+            bounds.add((text.rfind("\n", 0, at) + 1, done))
     for token in tokens:
         at = text.find(token)
         while at >= 0:
             lo = text.rfind("\n", 0, at) + 1
-            hi = at
-            for _ in range(more + 1):
-                hi = text.find("\n", hi + 1)
-                if hi < 0:
-                    hi = len(text)
-                    break
-            bounds.add((lo, hi))
-            at = text.find(token, text.find("\n", at) if more == 0 and text.find("\n", at) > 0 else at + len(token))
+            end = hi = text.find("\n", at)
+            for _ in range(more):
+                hi = text.find("\n", hi + 1) if hi >= 0 else hi
+            bounds.add((lo, hi if hi >= 0 else len(text)))
+            at = text.find(token, end) if end >= 0 else -1  # one find a line
     joined: list[tuple[int, int]] = []
     for lo, hi in sorted(bounds):
         if joined and lo <= joined[-1][1]:
@@ -171,14 +172,31 @@ def _around(text: str, start: int, end: int, n: int = 5) -> list[str]:
     return [t for w in left + right for t in terms_of(w)]
 
 
+class _Taken:
+    """Spans that do not overlap, found by bisection."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.spans: list[tuple] = []
+
+    def add(self, span: tuple) -> bool:
+        """Takes the span unless it overlaps one that is taken."""
+        i = bisect(self.starts, span[0])
+        if i and self.spans[i - 1][1] > span[0] or i < len(self.starts) and self.starts[i] < span[1]:
+            return False
+        self.starts.insert(i, span[0])
+        self.spans.insert(i, span)
+        return True
+
+
 def _strong(text: str) -> Iterator[tuple[int, int, int]]:
     """(role of the words around, start, end) of numbers whose shape tells."""
-    taken = []
+    taken = _Taken()
     for m in _ID.finditer(text):
-        taken.append(m.span())
+        taken.add(m.span())
         yield NEAR_ID, m.start(), m.end()
     for m in _PHONE.finditer(text):
-        if 7 <= sum(c.isdigit() for c in m.group()) <= 15 and not any(a < m.end() and m.start() < b for a, b in taken):
+        if 7 <= sum(c.isdigit() for c in m.group()) <= 15 and taken.add(m.span()):
             yield NEAR_PHONE, m.start(), m.end()
 
 
@@ -410,6 +428,7 @@ def _addresses(text: str, seen: int) -> Iterator[tuple[int, int]]:
 
 
 _WORDS = re.compile(r"(?:[OoDd]['’])?[^\W\d_]+(?:[-’'][^\W\d_]{2,})*")
+_INITIALS = re.compile(r"(?<![\w.])((?:[A-Z]\. ?)+)(?:%s)?$" % _PARTICLE)
 _GAP = re.compile(r" (?:([A-Z])\. )?(?:%s)?$" % _PARTICLE)
 
 
@@ -488,26 +507,27 @@ def _grow(line: str, words: list, i: int, used: int) -> tuple[int, int, list[str
                 begins_another = k is not None and words[k][3] & SURNAME and fits(words[k][2])
                 if not begins_another:
                     return _from_particle(line, start), nxt[1], [*terms_of(w), *terms_of(nxt[2])]
-        initial = re.search(r"(?<![\w.])((?:[A-Z]\. ?)+)(?:%s)?$" % _PARTICLE, line[used:start])
+        near = max(used, start - 60)
+        initial = _INITIALS.search(line[near:start])
         if initial and shape != "lower":
-            return used + initial.start(1), end, terms_of(w)
+            return near + initial.start(1), end, terms_of(w)
         if shape == "lower":
             return None
         return _from_particle(line, start), end, terms_of(w)
     if shape == "lower":
         return None
-    left = line[:start]
+    left, right = line[max(0, start - 60) : start], line[end : end + 60]
     prior = re.search(r"([^\W\d_]+)[ ,]+$", left)
-    greeted = left.endswith("@") or prior and prior.group(1).lower() in _GREETING and re.match(r"\s*[,!:.]|\s*$", line[end:])
-    leaves = re.match(r" (?:has|had) (?:left|gone|moved|joined|asked|written)\b| is (?:away|out|back|on leave)\b", line[end:])
+    greeted = left.endswith("@") or prior and prior.group(1).lower() in _GREETING and re.match(r"\s*[,!:.]|\s*$", right)
+    leaves = re.match(r" (?:has|had) (?:left|gone|moved|joined|asked|written)\b| is (?:away|out|back|on leave)\b", right)
     if role & AMBIGUOUS and not greeted and not leaves:
         return None
     return start, end, terms_of(w)
 
 
 def _from_particle(line: str, start: int) -> int:
-    m = re.search(r"(?:^|(?<=\W))%s$" % _PARTICLE, line[:start])
-    return m.start() if m and m.group().strip() not in ("de", "la", "el", "le", "da", "do", "al", "den", "der", "du", "del", "zu") else start
+    m = re.search(r"(?:^|(?<=\W))%s$" % _PARTICLE, line[max(0, start - 20) : start])
+    return max(0, start - 20) + m.start() if m and m.group().strip() not in ("de", "la", "el", "le", "da", "do", "al", "den", "der", "du", "del", "zu") else start
 
 
 def find(text: str | None, roles: _Roles) -> list[tuple[int, int, str, list[str]]]:
@@ -531,11 +551,10 @@ def find(text: str | None, roles: _Roles) -> list[tuple[int, int, str, list[str]
                 spans += [(at + a, at + b, "name", terms) for a, b, terms in _names_of_line(line, roles)]
                 at += len(line) + 1
     rank = {t: i for i, t in enumerate(TYPES)}
-    kept: list[tuple[int, int, str, list[str]]] = []
+    kept = _Taken()
     for s in sorted(spans, key=lambda s: (rank[s[2]], s[0] - s[1], s[0])):
-        if not any(s[0] < k[1] and k[0] < s[1] for k in kept):
-            kept.append(s)
-    return sorted(kept, key=lambda s: s[0])
+        kept.add(s)
+    return kept.spans
 
 
 def redacted(text: str | None, roles: _Roles) -> str | None:

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.llm.copies import copies
+
 # Fillers that stand for no answer, compared in lower case without blanks and invisible characters.
 FILLERS = frozenset(("<empty>", "<|endoftext|>", "[no response]", "(no response)", "<no response>", "no response", "n/a", "null", "nil", "nan", "(blank)", "[blank]", "<blank>", "(empty)", "[empty]", "(none)", "tbd", "todo", "answer:", "response:", "output:", "assistant:", "antwort:", "respuesta:", "réponse:", "resposta:"))
 # Abbreviations after which a text goes on.
@@ -33,7 +35,7 @@ WHOLE_ANSWERS = frozenset(("no.",))
 
 _INVISIBLE = "​‌‍⁠﻿­"
 _BLANK = re.compile(rf"[\s{_INVISIBLE}]+")
-_TAIL = re.compile(rf"[\s{_INVISIBLE}]+$")
+_TAIL = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + _INVISIBLE
 #: Marks and debris at a cut: ellipses, bracketed notes, replacement characters, halves of escapes and entities.
 _DEBRIS = re.compile(r"(?:\[?(?:…|\.{3,})\]?|[\[(<](?:cut|truncated|abridged|snip|\.\.\.|…|continued|more)[\])>]|�+|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?|[nrt\"])?|&(?:#?\w{0,7};?)|<\|?(?:endoftext|eot|eos)?\|?>?)$", re.I)
 _FENCE = re.compile(r"^\s*(```|~~~)", re.M)
@@ -58,14 +60,14 @@ def is_blank(text: str | None) -> bool:
 
 def core_of(text: str) -> tuple[str, bool]:
     """The text without blanks and debris at its end, and whether there was debris."""
-    core, marked = _TAIL.sub("", text), False
+    core, marked = text.rstrip(_TAIL), False
     for _ in range(4):
         m = _DEBRIS.search(core[-40:])
         if not m or m.start() == 0 and len(core) <= 40:
             break
-        if m.group() in ("<", ">", "&") or (m.group().endswith(">") and _TAG.search(core)):
+        if m.group() in ("<", ">", "&") or (m.group().endswith(">") and _TAG.search(core[-300:])):
             break
-        core, marked = _TAIL.sub("", core[: len(core) - len(m.group())]), True
+        core, marked = core[: len(core) - len(m.group())].rstrip(_TAIL), True
     return core, marked
 
 
@@ -132,7 +134,7 @@ def describe(text: str) -> tuple[str, str, str, str, int, int, bool]:
         kind = "closed" if re.search(r"(?:^|[\s(])['‘]\S[^'‘’]*$", core[:-1]) else "open"
     elif end in _CLOSERS and len(core) > 1:
         kind = "closed"
-    elif _TAG.search(last_line) or ord(end) >= 0x2190 and not end.isalnum():
+    elif _TAG.search(last_line[-300:]) or ord(end) >= 0x2190 and not end.isalnum():
         kind = "closed"
     elif not end.isalnum() and end not in "%°€$£+":
         kind = "open"
@@ -146,7 +148,9 @@ def describe(text: str) -> tuple[str, str, str, str, int, int, bool]:
 
 
 def _echoes(core: str, prompt: str | None) -> bool:
-    """The text ends as its prompt does: a copy is complete though its last mark may be gone."""
+    """The text ends as its prompt does, or is nothing but its prompt: a copy is complete though its last mark may be gone."""
+    if prompt and copies(prompt, core):
+        return True
     words = re.findall(r"\w+", core.lower())[-6:]
     asked = re.findall(r"\w+", (prompt or "").lower())
     return len(words) >= 4 and (asked[-len(words) :] == words or sorted(asked[-len(words) :]) == sorted(words))

@@ -82,3 +82,10 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     lexicon = pii.learn(spark, docs, "text", spark.createDataFrame([], "given_name string"), "given_name")
     assert pii.mentions(spark, docs, "doc_id", "text", lexicon).count() == 0
+
+
+def test_very_long_lines(lexicon):
+    roles = pii._Roles(pii.to_table(lexicon, 1 << 16))
+    text = "Agnes Korbmair 12 345 a.b@c.example " * 20_000
+    found = pii.find(text, roles)
+    assert {(k, text[a:b]) for a, b, k, _ in found} == {("name", "Agnes Korbmair"), ("email", "a.b@c.example")}
