@@ -1,7 +1,6 @@
 """Prompt corpora: grids of roles, default prompts and questions; import and validation of responses.
 
-Grids are products of configuration lists (roles, default prompts, questions), each far smaller than what is made of them; the questions are
-the side that is sent to all tasks, one row per question id. Validators return one row per rule with the number of violations, so that a
+Grids are products of configuration lists (roles, default prompts, questions), each far smaller than what is made of them. Validators return one row per rule with the number of violations, so that a
 writer can refuse to write before anything is written.
 """
 
@@ -29,8 +28,8 @@ def parts_of(rollouts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _crossed(left: DataFrame, questions: DataFrame) -> DataFrame:
-    """Every row with every question; the grid itself is the result asked for."""
-    return left.withColumn("_k", F.lit(1)).join(questions.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """Every row with every question: the grid itself is the result asked for. The planner sends the smaller side round or makes blocks of both."""
+    return left.crossJoin(questions)
 
 
 def role_grid(roles: DataFrame, questions: DataFrame) -> DataFrame:
