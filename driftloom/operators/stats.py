@@ -11,7 +11,7 @@ def true_median(x: Column) -> Column:
 
 
 def upper_median(x: Column) -> Column:
-    """The element at index n div 2 of the ascending values."""
+    """The element at index n div 2 of the ascending values, for groups of bounded size; counts of equal values do it for others."""
     n = F.count(x)
     return F.element_at(F.sort_array(F.collect_list(x)), F.floor(n / 2).cast("int") + 1)
 
