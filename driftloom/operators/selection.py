@@ -44,10 +44,13 @@ def round_robin(df: DataFrame, bucket: str, order: Sequence[str], n: int) -> Dat
 
 
 def sampled_per_group(df: DataFrame, group: str, ident: str, size: str, seed: str, namespace: str = "sample") -> DataFrame:
-    """Up to ``size`` rows per group by least hash of (seed, namespace, group, ident); size and seed are columns."""
+    """Up to ``size`` rows per group by least hash of (seed, namespace, group, ident); size and seed are columns.
+
+    The greatest size is read first, so that each task keeps no more rows of a group than that before the shuffle."""
+    most = df.agg(F.max(size)).first()[0] or 0
     h = F.sha2(F.concat_ws(":", F.col(seed).cast("string"), F.lit(namespace), F.col(group), F.col(ident).cast("string")), 256)
     rank = F.row_number().over(Window.partitionBy(group).orderBy("_h", ident))
-    return df.withColumn("_h", h).withColumn("rank", rank).where(F.col("rank") <= F.col(size)).drop("_h")
+    return df.withColumn("_h", h).withColumn("rank", rank).where(F.col("rank") <= int(most)).where(F.col("rank") <= F.col(size)).drop("_h")
 
 
 def drawn_indices(population: int, n: int, seed: int) -> list[int]:

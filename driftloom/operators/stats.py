@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +53,43 @@ def top_mean(x: Column, k: int) -> Column:
 
 def band(value: Column, high: float, low: float) -> Column:
     return F.when(value.isNull(), "missing").when(value >= high, "pass").when(value >= low, "caution").otherwise("fail")
+
+
+#: Relative width of the cells that order statistics are found in; a group has some 10,000 of them for each power of 10,000.
+_WIDTH, _SHIFT = 0.001, 800_000
+
+
+def ordered_cell(x: Column) -> Column:
+    """A whole number that never falls as x grows: values of about the same size share one."""
+    size = F.ceil(F.ln(F.abs(x)) / _WIDTH) + _SHIFT
+    return F.when(x == 0, F.lit(0)).otherwise((F.signum(x) * size).cast("long"))
+
+
+def _cells(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their cell, and per cell its count, the rows below it and the rows of its group. Windows run over cells, not rows."""
+    celled = df.withColumn("_cell", ordered_cell(F.col(value)))
+    by = Window.partitionBy(*keys)
+    hist = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_in"))
+    hist = hist.withColumn("_below", F.sum("_in").over(by.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")).withColumn("_all", F.sum("_in").over(by))
+    return celled, hist
+
+
+def value_at(df: DataFrame, keys: Sequence[str], value: str, fraction: float) -> DataFrame:
+    """(keys, value): the element at index floor(n * fraction) of each group's finite ascending values, exact; only one cell of a group is sorted."""
+    celled, hist = _cells(df, keys, value)
+    at = F.least(F.floor(F.col("_all") * fraction), F.col("_all") - 1)
+    cell = hist.where((F.col("_below") <= at) & (F.col("_below") + F.col("_in") > at)).select(*keys, "_cell", (at - F.col("_below")).alias("_at"))
+    values = celled.join(cell, [*keys, "_cell"]).groupBy(*keys, "_at", value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return values.withColumn("_upto", upto).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at"))).select(*keys, value)
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """The rows with the rank of their finite value in their group, from 1, ties sharing the mean of their ranks.
+
+    A rank is the number of rows in lower cells, and the rank within the cell; equal values are counted once."""
+    celled, hist = _cells(df, keys, value)
+    values = celled.groupBy(*keys, "_cell", value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = values.withColumn("_upto", upto).join(hist.select(*keys, "_cell", "_below"), [*keys, "_cell"])
+    return df.join(ranks.select(*keys, value, (F.col("_below") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out)), [*keys, value])

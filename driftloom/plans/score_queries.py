@@ -13,10 +13,9 @@ SCORES = ("local_aa_score", "primary_axis_dot_score", "loss")
 TOLERANCE = 1e-3
 
 
-def _scores(spark, sf_dir):
-    """Each score row once."""
-    cols = ["score_id", "sample_id", "window_id", "checkpoint_revision", "layer", *SCORES, "final_aa_score", "gradient_norm"]
-    return table(spark, sf_dir, "gradient_scores").select(*cols).distinct()
+def _scores(spark, sf_dir, *columns):
+    """The wanted columns of each score row once; rows that share an identifier are equal."""
+    return table(spark, sf_dir, "gradient_scores").select("score_id", *columns).distinct()
 
 
 def _axis_rows(spark, sf_dir):
@@ -31,14 +30,9 @@ def _r(**columns):
 
 def scalar_stats(spark, sf_dir):
     """Per layer: count, least, mean, upper median, greatest and deviation of the finite losses."""
-    rows = _scores(spark, sf_dir).where(V.is_finite(F.col("loss")))
+    rows = _scores(spark, sf_dir, "layer", "loss").where(V.is_finite(F.col("loss")))
     x = F.col("loss")
-    # the element at index n div 2 without gathering a layer: rank by counts of equal values
-    hist = rows.groupBy("layer", "loss").agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("layer")
-    ranked = hist.withColumn("upto", F.sum("n").over(by.orderBy("loss").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(by))
-    at = F.floor(F.col("all") / 2)
-    medians = ranked.where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)).select("layer", F.col("loss").alias("_median"))
+    medians = S.value_at(rows, ["layer"], "loss", 0.5).withColumnRenamed("loss", "_median")
     rest = rows.groupBy("layer").agg(F.count(x).alias("count"), F.min(x).alias("least"), S.exact_mean(x).alias("mean"), F.max(x).alias("greatest"), S.deviation(x).alias("deviation"))
     return rest.join(medians, "layer").select("layer", "count", *_r(least=F.col("least"), mean=F.col("mean"), upper_median=F.col("_median"), greatest=F.col("greatest"), deviation=F.col("deviation")))
 
@@ -59,14 +53,14 @@ def axis_summary(spark, sf_dir):
 def window_score_summary(spark, sf_dir):
     """Per window and over all, for the finite cosines."""
     x = F.col("local_aa_score")
-    rows = _scores(spark, sf_dir).where(V.is_finite(x) & F.col("window_id").isNotNull())
+    rows = _scores(spark, sf_dir, "window_id", "local_aa_score").where(V.is_finite(x) & F.col("window_id").isNotNull())
     out = rows.cube("window_id").agg(F.count(x).alias("count"), *_r(least=F.min(x), mean=S.exact_mean(x), greatest=F.max(x), deviation=S.deviation(x)))
     return out.withColumn("window_id", F.coalesce("window_id", F.lit("(all)")))
 
 
 def top_bottom(spark, sf_dir):
     """The 20 highest and the 20 lowest finite cosines, ties by identifier."""
-    rows = _scores(spark, sf_dir).where(V.is_finite(F.col("local_aa_score"))).select("score_id", "local_aa_score")
+    rows = _scores(spark, sf_dir, "local_aa_score").where(V.is_finite(F.col("local_aa_score")))
     top = rows.orderBy(F.col("local_aa_score").desc(), "score_id").limit(20).withColumn("side", F.lit("top"))
     return top.unionByName(rows.orderBy("local_aa_score", "score_id").limit(20).withColumn("side", F.lit("bottom")))
 
@@ -88,7 +82,7 @@ def score_agreement(spark, sf_dir):
 
 def batch_invariance(spark, sf_dir):
     """Reruns against first runs: per metric, greatest and mean difference and whether it is within the tolerance."""
-    g = _scores(spark, sf_dir).where("sample_id IS NOT NULL")
+    g = _scores(spark, sf_dir, "sample_id", "checkpoint_revision", "layer", *SCORES).where("sample_id IS NOT NULL")
     for c in SCORES:
         g = g.where(V.is_finite(F.col(c)))
     keys = ["sample_id", "checkpoint_revision", "layer"]
@@ -97,25 +91,17 @@ def batch_invariance(spark, sf_dir):
     return long.groupBy("metric").agg(F.count(F.lit(1)).alias("records"), *_r(max_delta=F.max("d"), mean_delta=S.exact_mean(F.col("d"))), F.every(F.col("d") <= TOLERANCE).alias("passed"))
 
 
-def _ranked(df, by, column, out):
-    """Average rank of ties within a group, from counts of equal values."""
-    hist = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = hist.withColumn(out, upto - (F.col("_n") - 1) / 2).drop("_n")
-    return df.join(ranks, [*by, column])
-
-
 def method_comparison(spark, sf_dir):
     """Two scores of the same rows, per layer: Pearson, Spearman with average ranks, agreement of signs."""
-    rows = _scores(spark, sf_dir).where(V.is_finite(F.col("local_aa_score")) & V.is_finite(F.col("primary_axis_dot_score"))).select("layer", "score_id", F.col("local_aa_score").alias("a"), F.col("primary_axis_dot_score").alias("b"))
-    rows = _ranked(_ranked(rows, ["layer"], "a", "ra"), ["layer"], "b", "rb")
+    rows = _scores(spark, sf_dir, "layer", "local_aa_score", "primary_axis_dot_score").where(V.is_finite(F.col("local_aa_score")) & V.is_finite(F.col("primary_axis_dot_score"))).select("layer", "score_id", F.col("local_aa_score").alias("a"), F.col("primary_axis_dot_score").alias("b"))
+    rows = S.average_ranks(S.average_ranks(rows, ["layer"], "a", "ra"), ["layer"], "b", "rb")
     a, b = F.col("a"), F.col("b")
     return rows.groupBy("layer").agg(F.count(F.lit(1)).alias("records"), *_r(pearson=S.pearson(a, b), spearman=S.pearson(F.col("ra"), F.col("rb")), sign_agreement=F.avg(((a >= 0) == (b >= 0)).cast("double"))))
 
 
 def adaptive_strata(spark, sf_dir):
     """Strata of the samples by both scores' means: concordant high and low, disagreement, near zero; hash order within, five of each."""
-    rows = _scores(spark, sf_dir).where(V.is_finite(F.col("local_aa_score")) & V.is_finite(F.col("primary_axis_dot_score")) & F.col("sample_id").isNotNull())
+    rows = _scores(spark, sf_dir, "sample_id", "local_aa_score", "primary_axis_dot_score").where(V.is_finite(F.col("local_aa_score")) & V.is_finite(F.col("primary_axis_dot_score")) & F.col("sample_id").isNotNull())
     means = rows.groupBy("sample_id").agg(F.round(F.avg("local_aa_score"), 4).alias("a"), F.round(F.avg("primary_axis_dot_score"), 4).alias("b"))
     stratum = F.when((F.abs("a") < 0.01) & (F.abs("b") < 0.01), "near_zero").when((F.col("a") > 0.1) & (F.col("b") > 0), "concordant_high").when((F.col("a") < -0.1) & (F.col("b") < 0), "concordant_low").when(F.col("a") * F.col("b") < 0, "disagreement").otherwise("other")
     h = F.sha2(F.concat_ws(":", F.lit("1729"), F.lit("fopci_adaptive"), "sample_id"), 256)
@@ -202,7 +188,7 @@ def parameter_scope(spark, sf_dir):
 
 def sequence_loss(spark, sf_dir):
     """Mean over a sequence's finite losses, and per window the sum of these means."""
-    g = _scores(spark, sf_dir).where("sample_id IS NOT NULL AND window_id IS NOT NULL")
+    g = _scores(spark, sf_dir, "sample_id", "window_id", "loss").where("sample_id IS NOT NULL AND window_id IS NOT NULL")
     per = g.groupBy("window_id", "sample_id").agg((F.sum(F.when(V.is_finite(F.col("loss")), F.col("loss")).otherwise(0.0)) / F.greatest(F.count_if(V.is_finite(F.col("loss"))), F.lit(1))).alias("mean"))
     return per.groupBy("window_id").agg(F.count(F.lit(1)).alias("sequences"), F.sum(F.col("mean").cast("decimal(38,10)")).cast("double").alias("loss"))
 

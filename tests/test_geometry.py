@@ -69,3 +69,20 @@ def test_published_transition_score():
     """Step 1000 to 2000 of the published dense table."""
     score = (1 - 0.6231) + (1 - 0.7484) + (1 - 0.9852) + abs(0.8882 - 0.8715) + abs(0.4216 - 0.4794)
     assert abs(score - 0.7177) < 2e-4
+
+
+def test_order_statistics_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.choice([0.0, -0.0, 1.0, -1.0, rng.gauss(0, 1), rng.lognormvariate(0, 9), -rng.lognormvariate(0, 9), 5e-310])) for _ in range(600)] + [("one", 3.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    for f in (0.0, 0.25, 0.5, 1.0):
+        got = {r.k: r.v for r in S.value_at(df, ["k"], "v", f).collect()}
+        assert got == {k: (x := sorted(v for g, v in rows if g == k))[min(int(len(x) * f), len(x) - 1)] for k in ("a", "b", "one")}
+    ranked = S.average_ranks(df, ["k"], "v", "r").collect()
+    assert len(ranked) == len(rows)
+    for r in ranked:
+        own = [v for g, v in rows if g == r.k]
+        assert r.r == sum(v < r.v for v in own) + (sum(v == r.v for v in own) + 1) / 2
+    assert S.value_at(df.limit(0), ["k"], "v", 0.5).count() == 0
