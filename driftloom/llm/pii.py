@@ -21,7 +21,6 @@ mail, number, telephone, address, name; without given names or pairs no names ar
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from bisect import bisect
@@ -612,8 +611,3 @@ def redact(spark: SparkSession, df: DataFrame, ident: str, text: str, lexicon: D
             yield pd.DataFrame({ident: pdf["id"], "text": [redacted(t, roles) for t in pdf["text"]]})
 
     return df.select(F.col(ident).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"{ident} {kind}, text string")
-
-
-def information(disclosure: float, rate: float) -> float:
-    """Bits that a term gives away about an entity that has the given rate."""
-    return math.log2(disclosure / rate) if disclosure > 0 and rate > 0 else -math.inf
