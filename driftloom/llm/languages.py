@@ -32,7 +32,10 @@ LANGUAGES = tuple(STOPWORDS)
 BUCKETS = 8192
 #: What a word of a dictionary weighs beside the trigrams, as log-odds; the share of smoothing; the lead from which a text trains the model.
 VOTE, SMOOTH, SURE = 6.0, 0.2, 25.0
-_VOTES = {lang: frozenset(words.split()) for lang, words in STOPWORDS.items()}
+_LANGS_OF: dict[str, tuple[int, ...]] = {}
+for _i, _words in enumerate(STOPWORDS.values()):
+    for _w in dict.fromkeys(_words.split()):
+        _LANGS_OF[_w] = (*_LANGS_OF.get(_w, ()), _i)
 _LETTERS = re.compile(r"(?:[^\w¿¡]|[\d_])+")  # ¿ and ¡ tell a language as letters do
 _QUOTED = re.compile(r"[\"“„«「『][^\"”“»」』\n]{0,300}[\"”“»」』]")
 _CODE = re.compile(r"(?s)```.*?(?:```|$)")
@@ -53,8 +56,10 @@ def script_of(text: str) -> str | None:
 
 def prose(text: str) -> str:
     """A text without code and quotations, unless too little is left."""
-    bare = _QUOTED.sub(" ", _CODE.sub(" ", text))
-    return bare if sum(c.isalpha() for c in bare) >= 12 else text
+    bare = _CODE.sub(" ", text) if "```" in text else text
+    if any(q in bare for q in "\"“„«「『"):
+        bare = _QUOTED.sub(" ", bare)
+    return bare if bare is text or sum(map(str.isalpha, bare)) >= 12 else text
 
 
 def _letters(text: str) -> str:
@@ -68,12 +73,21 @@ def trigrams(letters: str) -> np.ndarray:
     return ((((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int64)
 
 
+def _votes(words: list[str]) -> list[int]:
+    """How many of the words each language's dictionary has."""
+    votes = [0] * len(LANGUAGES)
+    for w in words:
+        for i in _LANGS_OF.get(w, ()):
+            votes[i] += 1
+    return votes
+
+
 def voted(letters: str) -> str | None:
     """The language the dictionaries are sure of."""
     words = letters.split()
     if len(words) < 3:
         return None
-    scores = sorted(((sum(w in v for w in words), lang) for lang, v in _VOTES.items()), reverse=True)
+    scores = sorted(zip(_votes(words), LANGUAGES), reverse=True)
     return scores[0][1] if scores[0][0] >= 3 and scores[0][0] >= 2 * scores[1][0] else None
 
 
@@ -109,7 +123,7 @@ def _round(long: DataFrame, prepare: Sequence[Callable[[str], str]], model: np.n
                 t = prepare[i](t)
                 letters = _letters(prose(t))
                 lang = voted(letters) if model is None else language_of(t, model, SURE)
-                if lang in _VOTES:
+                if lang in STOPWORDS:
                     counts[LANGUAGES.index(lang)] += np.bincount(trigrams(letters), minlength=BUCKETS)
         lang, bucket = np.nonzero(counts)
         yield pd.DataFrame({"lang": lang, "bucket": bucket, "n": counts[lang, bucket]})
@@ -128,7 +142,6 @@ def language_of(text: str, model: np.ndarray, lead: float = 4.0) -> str | None:
     letters = _letters(bare)
     if len(letters) < 14:
         return None
-    words = letters.split()
-    scores = model[:, trigrams(letters)].sum(axis=1) + VOTE * np.array([sum(w in v for w in words) for v in _VOTES.values()])
+    scores = model[:, trigrams(letters)].sum(axis=1) + VOTE * np.array(_votes(letters.split()))
     best, second = np.argsort(scores)[::-1][:2]
     return LANGUAGES[best] if scores[best] - scores[second] >= lead else None
