@@ -12,6 +12,8 @@ from driftloom.session import table
 SHARD = 1000
 SUBSETS = (("master", 100), ("activation_gradient", 40), ("fopci_random", 10))
 SEED = 1729
+#: The size of a sample whose plan names none.
+SAMPLE_SIZE = 1000
 
 
 def window_plan(spark, sf_dir):
@@ -65,11 +67,11 @@ def _uids(spark, sf_dir):
 
 
 def _policies(spark, sf_dir):
-    return table(spark, sf_dir, "window_plan").select("window_id", F.least(F.col("sample_policy.sample_size"), F.lit(5)).alias("size"), F.col("sample_policy.seed").alias("seed"))
+    return table(spark, sf_dir, "window_plan").select("window_id", F.coalesce(F.col("sample_policy.sample_size"), F.lit(SAMPLE_SIZE)).alias("size"), F.col("sample_policy.seed").alias("seed"))
 
 
 def seeded_sample(spark, sf_dir):
-    """Up to five sequences of each window by the plan's seed and hash rank."""
+    """As many sequences of each window as its plan asks for, by the plan's seed and hash rank."""
     rows = _uids(spark, sf_dir).join(_policies(spark, sf_dir), "window_id")
     return S.sampled_per_group(rows, "window_id", "uid", "size", "seed").select("window_id", "uid", "rank")
 
