@@ -127,14 +127,14 @@ def terms_of(token: str) -> list[str]:
 
 #: Tokens that may belong to a number of a person: a sign or trunk prefix, groups with separators, letters before digits.
 _NUMBER_TOKEN = re.compile(
-    r"(?<![\w.])(?!\d{4}-\d\d-\d\dT)(?:[+(]\d|0\d{2,4}(?![\w.=:-])|\d{1,8}[-/.]\d{2,8}[-/.)]\d|\d{3}[-/]\d{4,}|\d{6}-\d{5}|0\d{2}/\d{4,}|\d{8}[A-Z]|[A-Z]{1,2}\d{3,}[\w-]*|[A-Z]{2}(?![\w=:]))"
+    r"(?<![\w.])(?!\d{4}-\d\d-\d\dT)(?:[+(]\d|0\d{2,4}(?![\w.=:-])|\d{1,8}[-/.]\d{2,8}[-/.)]\d|\d{3}[-/]\d{4,}|\d{6}-\d{5}|0\d{2}/\d{4,}|\d{8}[A-Z]|[A-Z]{1,2}\d{3,}[\w-]*|[A-Z]{2}\d\d(?!\w)|[A-Z]{2}(?![\w=:]))"
 )
-#: Groups of digits with blanks between them.
-_SPACED = re.compile(r"\d{2,4} \d{2,5}(?![\w.])")
+#: Groups of digits with blanks between them; a trunk prefix and a longer group; four groups with mixed separators. Every shape of a number has one of these or a token above.
+_SPACED = (re.compile(r"\d{2,4} \d{2,5}(?![\w.])"), re.compile(r"0[1-9]\d{0,4}[ /]\d{3}"), re.compile(r"1[-. ]\d{3}[-. ]\d{3}[-. ]\d{4}"))
 
 
 def _number_lines(text: str, tokens: Iterable[str]) -> list[tuple[int, int]]:
-    return _lines(text, tokens, 0, [m.start() for m in _SPACED.finditer(text)])
+    return _lines(text, tokens, 0, sorted(m.start() for p in _SPACED for m in p.finditer(text)))
 
 
 def _lines(text: str, tokens: Iterable[str], more: int = 0, places: Iterable[int] = ()) -> list[tuple[int, int]]:
