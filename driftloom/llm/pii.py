@@ -114,7 +114,7 @@ _STREET_WORDS = frozenset(_STREETS)
 _ROMANCE = frozenset("rue avenue boulevard allée chemin quai place impasse route cours square passage sentier Calle Avda Av Avenida Plaza Pza Paseo Camino Ronda Travesía Rua Via Viale Piazza C".split())
 _CALL_NAME, _CALL_NUMBER, _CALL_STREET, _CALL_BOX, _CALL_POSTCODE, _CALL_ROMANCE = (1 << i for i in range(6))
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
-_POSTCODE = re.compile(r"\W*\d{5}(?!\d)")
+_POSTCODE = re.compile(r"(?:\W*|.*,)\d{5}(?!\d)")
 
 
 def terms_of(token: str) -> list[str]:
@@ -137,8 +137,10 @@ def _number_lines(text: str, tokens: Iterable[str]) -> list[tuple[int, int]]:
     return _lines(text, tokens, 0, sorted(m.start() for p in _SPACED for m in p.finditer(text)))
 
 
-def _lines(text: str, tokens: Iterable[str], more: int = 0, places: Iterable[int] = ()) -> list[tuple[int, int]]:
-    """Bounds of the lines (and ``more`` lines after each) that hold one of the tokens or places, in order and joined where they touch."""
+def _lines(text: str, tokens: Iterable[str], more: int = 0, places: Iterable[int] = (), second: Iterable[str] = ()) -> list[tuple[int, int]]:
+    """Bounds of the lines (and ``more`` lines after each) that hold one of the tokens or places, in order and joined where they touch.
+
+    Tokens that are among ``second`` take the line before theirs as well."""
     bounds = set()
     done = -1
     for at in places:
@@ -150,6 +152,8 @@ def _lines(text: str, tokens: Iterable[str], more: int = 0, places: Iterable[int
         at = text.find(token)
         while at >= 0:
             lo = text.rfind("\n", 0, at) + 1
+            if lo and token in second:
+                lo = text.rfind("\n", 0, lo - 1) + 1
             end = hi = text.find("\n", at)
             for _ in range(more):
                 hi = text.find("\n", hi + 1) if hi >= 0 else hi
@@ -542,7 +546,8 @@ def find(text: str | None, roles: _Roles) -> list[tuple[int, int, str, list[str]
         for wanted in called.values():
             seen |= wanted
         if seen & (_CALL_STREET | _CALL_BOX | _CALL_POSTCODE):
-            for lo, hi in _lines(text, [t for t, w in called.items() if w & (_CALL_STREET | _CALL_BOX | _CALL_POSTCODE | _CALL_ROMANCE)], 1):
+            codes = {t for t, w in called.items() if w & _CALL_POSTCODE}  # the street may stand on the line before, and call for nothing
+            for lo, hi in _lines(text, [t for t, w in called.items() if w & (_CALL_STREET | _CALL_BOX | _CALL_POSTCODE | _CALL_ROMANCE)], 1, second=codes):
                 spans += [(lo + a, lo + b, "address", []) for a, b in _addresses(text[lo:hi], seen)]
         for lo, hi in _lines(text, [t for t, w in called.items() if w & _CALL_NAME]):
             at = lo

@@ -32,3 +32,12 @@ def test_labelled_telephones_alone_on_their_line():
     for number in ("06 12345678", "02 1234567", "02/12345678", "015123 4567890"):
         assert [(k, a, b) for a, b, k, _ in pii.find(f"tel {number}", roles)] == [("phone", 4, 4 + len(number))]
         assert pii.redacted(f"notes\ncall {number}\nend", roles) == "notes\ncall [PHONE]\nend"
+
+
+def test_german_addresses_over_two_lines():
+    roles = pii._Roles(np.zeros(16, np.uint8))
+    for address in ("Alte Schleuse 217a,\n00060 Niedermoorstadt", "Torfweg 8\n00061 Altmoor", "Am Wehr 3,\n 00062 Hohenfeld", "Alte Schleuse 217a,00060 Niedermoorstadt"):
+        for text in (address, f"notes\n\nsigned\n{address}\nnext line\nend", f"00071 rows\n{address}\n00072 rows"):
+            start = text.index(address)
+            assert [(k, a, b) for a, b, k, _ in pii.find(text, roles)] == [("address", start, start + len(address))], text
+    assert pii.redacted("Post:\nAlte Schleuse 217a,\n00060 Niedermoorstadt.\nThanks", roles) == "Post:\n[ADDRESS].\nThanks"
