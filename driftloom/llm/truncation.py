@@ -2,7 +2,7 @@
 
 Lengths. For each source and measure (characters as stored, characters without marks and blanks at the end, words) the discrete hazard at a
 length is the number of texts that end there over those at least as long. Window functions pool the hazards of the neighbouring lengths; the
-Chernoff bound of the Poisson tail, widened by the spread of the neighbours, gives each length's p-value, and Benjamini-Hochberg per source and measure controls the false
+Chernoff bound of the Poisson tail, widened by how far the neighbours vary around their pooled hazard, gives each length's p-value, and Benjamini-Hochberg per source and measure controls the false
 discoveries. Significant lengths are field limits.
 
 Endings. ``describe`` reads the last characters of a text: an open code block, quotation or bracket, a joining mark or an abbreviation at the end is
@@ -236,12 +236,20 @@ def significant_lengths(feats: DataFrame, source: Sequence[str], alpha: float =
     hist = long.groupBy(*source, "x.measure", "x.length").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy(*source, "measure").orderBy("length")
     at_risk = F.sum("n").over(by.rowsBetween(0, Window.unboundedFollowing))
-    near = by.rangeBetween(-width, width)
-    around = hist.withColumn("at_risk", at_risk).withColumn("_near", F.sum("n").over(near) - F.col("n")).withColumn("_squares", F.sum(F.col("n") * F.col("n")).over(near) - F.col("n") * F.col("n"))
-    expected = F.greatest(F.col("_near") / (2 * width), F.lit(0.5))  # neighbours are at risk with nearly as many texts
-    tested = around.withColumn("expected", F.least(expected, F.col("at_risk").cast("double")))
+    near, beyond = by.rangeBetween(-width, width), by.rangeBetween(width + 1, Window.unboundedFollowing)
+    first = F.greatest(F.col("length") - width, F.lit(1))
+    last = F.least(F.col("length") + width, F.max("length").over(Window.partitionBy(*source, "measure")))
+    # Over all lengths from first to last, whether texts end there or not, a text of length m is at risk at min(m, last) - first + 1 of them.
+    risks = F.sum(F.col("n") * F.col("length")).over(near) - (first - 1) * F.sum("n").over(near) + (last - first + 1) * F.coalesce(F.sum("n").over(beyond), F.lit(0))
+    around = hist.withColumn("at_risk", at_risk).withColumn("_lengths", last - first).withColumn("_risks", risks - F.col("at_risk"))
+    squares = F.col("n") * F.col("n") / F.col("at_risk")
+    around = around.withColumn("_near", F.sum("n").over(near) - F.col("n")).withColumn("_squares", F.sum(squares).over(near) - squares)
+    hazard = F.when(F.col("_risks") > 0, F.col("_near") / F.col("_risks")).otherwise(0.0)
+    around = around.withColumn("_hazard", hazard)
+    tested = around.withColumn("expected", F.least(F.greatest(F.col("at_risk") * F.col("_hazard"), F.lit(0.5)), F.col("at_risk").cast("double")))
     n, mu = F.col("n"), F.col("expected")
-    spread = F.greatest(F.lit(1.0), (F.col("_squares") / (2 * width) - mu * mu) / mu)  # neighbours that vary more than a Poisson count
+    varied = (F.col("_squares") / F.col("_hazard") - F.col("_near")) / F.col("_lengths")  # neighbours that vary more than Poisson counts of one hazard
+    spread = F.when(F.col("_hazard") > 0, F.greatest(F.lit(1.0), varied)).otherwise(1.0)
     tested = tested.withColumn("p", F.when(n <= mu, 1.0).otherwise(F.exp((n - mu + n * F.ln(mu / n)) / spread)))
     ranks = Window.partitionBy(*source, "measure").orderBy("p", "length")
     all_ = Window.partitionBy(*source, "measure")
