@@ -45,8 +45,8 @@ def dependency_expand(spark, sf_dir):
 
 
 def artifact_inventory(spark, sf_dir):
-    """Size and digest of the small tables' files."""
-    return tables.inventory(spark, sf_dir, "*tion.parquet").unionByName(tables.inventory(spark, sf_dir, "region.parquet")).distinct()
+    """Size and digest of all files of the tables."""
+    return tables.inventory(spark, sf_dir)
 
 
 def artifact_verify(spark, sf_dir):

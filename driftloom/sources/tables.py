@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +29,25 @@ def read_shards(spark: SparkSession, files: Sequence[str], columns: Sequence[str
 
 
 def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, size_bytes, sha256) of the files of a folder, read as binary, file by file on the executors."""
+    """(path, size_bytes, sha256) of the files of a folder, read as binary, file by file on the executors; paths are relative to the folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    root = re.sub(r"^\w+:/*", "/", folder).rstrip("/") + "/"
+    named = F.element_at(F.split("path", re.escape(root), 2), -1).alias("path")
+    found = files.select(named, F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    empty = spark.createDataFrame([(p,) for p in _empty_files(spark, folder, pattern)], "path string")
+    return found.unionByName(empty.select(named, F.lit(0).cast("long").alias("size_bytes"), F.sha2(F.lit(b""), 256).alias("sha256")))
+
+
+def _empty_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """The files without content, which Spark's reader leaves out; hidden ones aside, as there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed, out = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while listed.hasNext():
+        f = listed.next()
+        name = f.getPath().getName()
+        if f.getLen() == 0 and name[:1] not in ("_", ".") and fnmatch.fnmatchcase(name, pattern):
+            out.append(f.getPath().toString())
+    return out
 
 
 def write_if_valid(df: DataFrame, violations: DataFrame, path: str) -> bool:
