@@ -7,7 +7,7 @@ from pyspark.sql import types as X
 
 from driftloom.operators import attribution as A
 from driftloom.sources import jsonl, tables
-from driftloom.session import ensure_checkpoint_dir, table
+from driftloom.session import own_folder, table
 from driftloom.streaming.resume import pending, tumbling_counts
 
 MODEL = A.TinyCausalModel(vocabulary=512, width=16)
@@ -96,7 +96,7 @@ def parameter_influence(spark, sf_dir):
 
 def scan_jsonl_strict(spark, sf_dir):
     """The windows written as JSON lines and read again with an explicit schema, any bad line failing the read."""
-    path = f"{ensure_checkpoint_dir(spark)}/scan_jsonl_strict"
+    path = own_folder(spark, "scan_jsonl_strict")
     jsonl.write(table(spark, sf_dir, "window_plan").select("window_id", "batch_idx_start", "batch_idx_end_exclusive"), path)
     schema = X.StructType([X.StructField("window_id", X.StringType()), X.StructField("batch_idx_start", X.LongType()), X.StructField("batch_idx_end_exclusive", X.LongType())])
     return jsonl.read_strict(spark, path, schema)
@@ -104,7 +104,7 @@ def scan_jsonl_strict(spark, sf_dir):
 
 def csv_typed(spark, sf_dir):
     """Score rows' numbers written as CSV and read again with types; NaN and blanks as they were."""
-    path = f"{ensure_checkpoint_dir(spark)}/csv_typed"
+    path = own_folder(spark, "csv_typed")
     rows = table(spark, sf_dir, "window_plan").select("window_id", "batch_count", "row_filter")
     tables.write_csv(rows, path, ["window_id", "batch_count", "row_filter"], ["row_filter"])
     schema = X.StructType([X.StructField("window_id", X.StringType()), X.StructField("batch_count", X.LongType()), X.StructField("row_filter_json", X.StringType())])
