@@ -6,8 +6,8 @@ rule, weighted with what a shard has to give. Within a shard, whole passes over
 order of a seeded hash until the tokens come closest to the quota.
 
 Scale: texts are counted once however many identifiers carry them (an identifier for a text of 128 bits is what is shuffled, not the text). Only one
-row per source and shard reaches the driver. A source is spread over shards of about ``shard_tokens`` tokens, so that no
-source, however large, is ordered in one task.
+row per source and shard reaches the driver, one for each ``shard_tokens`` tokens (125,000 for 25 million million tokens). A source is spread over
+shards of about ``shard_tokens`` tokens, so that no source, however large, is ordered in one task; a shard holds identifiers and sizes.
 
 Defined cases: source names are compared in lower case, trimmed, with blanks and hyphens as underscores; sources without a target, null
 sources and texts of 0 tokens are not used; a target source without any text cannot give its share, so the others share the whole in proportion
@@ -28,10 +28,6 @@ from driftloom.llm.tokens import RANKS, token_count
 from driftloom.session import cut
 
 
-#: A source is spread over at most so many shards, which bounds what the driver plans; beyond, shards grow.
-MAX_SHARDS = 4096
-
-
 def source_key(source: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.col(source) if isinstance(source, str) else source)), r"[\s\-]+", "_")
 
@@ -66,7 +62,7 @@ def texts_of(df: DataFrame, ident: str, text: str, source: str, ranks: str = RAN
     return rows.groupBy("text_id").agg(F.min("x").alias("x")).select("text_id", F.col("x.id").alias(ident), F.col("x.source").alias("source"), F.col("x.n").alias("n_tokens"))
 
 
-def mix(spark: SparkSession, texts: DataFrame, targets: DataFrame, seed: int = 1729, blocks: int = 10_000, shard_tokens: int = 20_000_000, total: int | None = None) -> DataFrame:
+def mix(spark: SparkSession, texts: DataFrame, targets: DataFrame, seed: int = 1729, blocks: int = 10_000, shard_tokens: int = 200_000_000, total: int | None = None) -> DataFrame:
     """(columns of ``texts``, uses), uses >= 1 the number of times a text is taken.
 
     ``targets``: source, target_share, max_repeats; a small table that is read on the driver (one row per source)."""
@@ -80,8 +76,8 @@ def mix(spark: SparkSession, texts: DataFrame, targets: DataFrame, seed: int = 1
     total = most if total is None else min(total, most)
     size = max(1, total // blocks)
     quota = sainte_lague(shares, total // size)
-    shards = min(MAX_SHARDS, max(1, -(-max(have.values(), default=0) // shard_tokens)))
-    sharded = held.withColumn("shard", F.pmod(F.xxhash64("text_id"), F.lit(shards)).cast("int"))
+    shards = F.create_map(*(F.lit(x) for s in sorted(have) for x in (s, max(1, -(-have[s] // shard_tokens))))) if have else F.create_map(F.lit(""), F.lit(1))
+    sharded = held.withColumn("shard", F.pmod(F.xxhash64("text_id"), shards[F.col("source")]).cast("int"))
     plan = []
     by_shard: dict[str, dict[int, int]] = {}
     for r in sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect():

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from driftloom.llm import ledger, mixing, packing, pairs, percentiles, pii, spans, topn, truncation
 from driftloom.llm.sql import ORACLE
 from driftloom.llm.tokens import token_count
-from driftloom.session import cut, table
+from driftloom.session import cut, own_folder, table
 
 SHARED_IDS = 32
 SAMPLE_PARTS, SAMPLE_SHARE, SAMPLE_SEED = ("sample_id", "batch_idx", "window_id"), 0.2, 1729
 #: Ends of the first two generations; the third knows all rows.
 GENERATIONS = ("2025-07-01", "2025-10-01", None)
-ALPHA, LEVELS, METRICS = 0.01, (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99), ("local_aa_score", "loss")
+#: The session's setting for the shared folder of selection ledgers.
+LEDGER_FOLDER = "spark.driftloom.ledgers"
+#: The relative error stated for percentiles, and the little less that the sketch itself takes.
+ALPHA, SKETCH_ALPHA = 0.01, 0.01 * (1 - 1e-6)
+LEVELS, METRICS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99), ("local_aa_score", "loss")
 TOP_N, TOP_SCORES = 10, ("local_aa_score", "primary_axis_dot_score")
 CAPACITY = 2049
 
@@ -73,33 +77,37 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger after three generations of the table; each generation's ledger is persisted before the next is drawn."""
-    rows = table(spark, sf_dir, "sampled_sequences").where(F.col("sample_id").isNotNull())
-    keys = cut(ledger.distinct_keys(rows, SAMPLE_PARTS, SAMPLE_SEED, ("added_at", "loaded_at")))
-    held = None
+    """The ledger after three generations of the table.
+
+    It lies in the folder that LEDGER_FOLDER names in the session, and what a run finds there it keeps: generations that are written are read, not
+    drawn again. Where the session names none, the run has a folder of its own beneath the checkpoints."""
+    named = spark.conf.get(LEDGER_FOLDER, None)
+    path = f"{named or own_folder(spark, 'ledgers')}/sampled_sequences"
+    keys = cut(ledger.distinct_keys(table(spark, sf_dir, "sampled_sequences"), SAMPLE_PARTS, SAMPLE_SEED, ("added_at", "loaded_at")))
     for generation, end in enumerate(GENERATIONS, 1):
         known = keys if end is None else keys.where(F.col("seen_at") < F.lit(end).cast("timestamp_ntz"))
-        held = cut(ledger.grow(known, held, SAMPLE_PARTS, SAMPLE_SHARE, SAMPLE_SEED, generation))
-    return held.select(*SAMPLE_PARTS, "generation")
+        ledger.extend(known, path, SAMPLE_PARTS, SAMPLE_SHARE, SAMPLE_SEED, generation)
+    return ledger.load(spark, path).select(*SAMPLE_PARTS, "generation")
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "gradient_scores").where(F.col("window_id").isNotNull())
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("estimate", F.round("estimate", 6))
+def _estimates(counts: DataFrame) -> DataFrame:
+    """Estimates to nine significant digits, which costs a relative 5e-10 of the stated error; the sketch keeps that much below it."""
+    rows = percentiles.percentiles(counts, ["window_id"], LEVELS, SKETCH_ALPHA)
+    return rows.withColumn("estimate", F.format_string("%.8e", "estimate").cast("double"))
 
 
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = percentiles.sketch(_scores(spark, sf_dir), ["window_id"], METRICS, ALPHA)
-    return _rounded(percentiles.percentiles(counts, ["window_id"], LEVELS, ALPHA))
+    return _estimates(percentiles.sketch(_scores(spark, sf_dir), ["window_id"], METRICS, SKETCH_ALPHA))
 
 
 def p6_percentiles_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same percentiles, put together from the sketches of single days."""
-    days = percentiles.sketch(_scores(spark, sf_dir).withColumn("day", F.to_date("scored_at")), ["window_id", "day"], METRICS, ALPHA)
-    return _rounded(percentiles.percentiles(percentiles.merge(days, ["window_id"]), ["window_id"], LEVELS, ALPHA))
+    days = percentiles.sketch(_scores(spark, sf_dir).withColumn("day", F.to_date("scored_at")), ["window_id", "day"], METRICS, SKETCH_ALPHA)
+    return _estimates(percentiles.merge(days, ["window_id"]))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 _P5 = """
 WITH keys AS (
   SELECT sample_id, batch_idx, window_id, min(greatest(added_at, loaded_at)) AS seen_at,
-         sha256(concat_ws(chr(31), '1729', sample_id, coalesce(CAST(batch_idx AS VARCHAR), chr(0)), coalesce(window_id, chr(0)))) AS priority
-  FROM sampled_sequences WHERE sample_id IS NOT NULL GROUP BY sample_id, batch_idx, window_id),
+         sha256(concat_ws(chr(31), '1729', coalesce(sample_id, chr(0)), coalesce(CAST(batch_idx AS VARCHAR), chr(0)), coalesce(window_id, chr(0)))) AS priority
+  FROM sampled_sequences GROUP BY sample_id, batch_idx, window_id),
 k1 AS (SELECT * FROM keys WHERE seen_at < TIMESTAMP '2025-07-01'),
 g1 AS (SELECT *, 1 AS generation FROM k1 QUALIFY row_number() OVER (ORDER BY priority) <= (SELECT ceil(round(count(*) * 0.2::DOUBLE, 6)) FROM k1)),
 k2 AS (SELECT * FROM keys WHERE seen_at < TIMESTAMP '2025-10-01'),
@@ -28,8 +28,8 @@ hit AS (
   SELECT window_id, metric, p, n, v FROM ranked, (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS p)
   WHERE r = floor(p * (n - 1)))
 SELECT window_id, metric, p, n,
-       round(CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE sign(v) * (2 / ((1.01::DOUBLE / 0.99) + 1)) * pow(1.01::DOUBLE / 0.99, ceil(ln(abs(v)) / ln(1.01::DOUBLE / 0.99))) END, 6) AS estimate
-FROM hit
+       printf('%.8e', CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE sign(v) * (2 / (g + 1)) * pow(g, ceil(ln(abs(v)) / ln(g))) END)::DOUBLE AS estimate
+FROM hit, (SELECT (1 + 0.01::DOUBLE * (1 - 1e-6::DOUBLE)) / (1 - 0.01::DOUBLE * (1 - 1e-6::DOUBLE)) AS g)
 """
 
 _P7 = """

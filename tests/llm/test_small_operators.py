@@ -176,7 +176,7 @@ def test_everything_is_placed_whole(spark):
     by_item, by_bin = defaultdict(list), defaultdict(int)
     for r in placed:
         by_item[r.id].append((r.piece, r.n_tokens))
-        by_bin[r.block, r.bin] += r.n_tokens
+        by_bin[r.round, r.block, r.bin] += r.n_tokens
     assert max(by_bin.values()) == 100 and set(by_item) == {i for i, _ in rows}
     for i, n in rows:
         pieces = sorted(by_item[i])
@@ -189,6 +189,13 @@ def test_everything_is_placed_whole(spark):
     assert fill.bins == 0 and fill.fill is None
 
 
+def test_fill_does_not_fall_with_more_blocks(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, min(400, int(rng.lognormvariate(4, 1)))) for i in range(3000)], "id long, n int").cache()
+    bins = {k: packing.fill_report(packing.place(df, "id", "n", 300, k), 300).collect()[0] for k in (500, 100_000)}
+    assert len({r.tokens for r in bins.values()}) == 1 and all(r.bins <= r.least_bins + 1 for r in bins.values())
+
+
 def test_token_count_equals_the_tokenizer(spark):
     texts = [None, "", " ", "a  b\n\n c", "<|endoftext|>", "日本語 é's", "x" * 5000]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(token_count("t").alias("n")).collect()
@@ -229,3 +236,56 @@ def test_mix_reaches_targets_and_respects_repeats(spark):
     again = mixing.mix(spark, mixing.texts_of(docs.repartition(7), "id", "text", "source"), targets, shard_tokens=4000)
     assert sorted(map(str, taken)) == sorted(map(str, again.collect()))
     assert mixing.mix(spark, texts.limit(0), targets).count() == 0
+
+
+def test_the_cut_is_the_same_through_finer_cells(spark, monkeypatch):
+    keys = keyed(spark, [(f"k{i}", i, i) for i in range(300)]).cache()
+    want = sorted(r.priority for r in keys.collect())
+    for ranked in (1, 1_000_000):
+        monkeypatch.setattr(ledger, "RANKED", ranked)
+        for quota in (0, 1, 137, 300, 500):
+            assert sorted(r.priority for r in ledger.lowest(keys, quota).collect()) == want[:quota]
+
+
+def test_a_ledger_on_disk_is_read_by_the_next_run(spark, tmp_path):
+    path, rows = str(tmp_path / "ledger"), [(f"k{i}", i % 7, i) for i in range(600)]
+    assert ledger.load(spark, path) is None
+    ledger.extend(keyed(spark, rows[:200]), path, PARTS, 0.3, 7, 1)
+    first = chosen(ledger.load(spark, path))
+    assert len(first) == 60
+    ledger.extend(keyed(spark, rows[:5]), path, PARTS, 0.3, 7, 1)  # is there already
+    assert chosen(ledger.load(spark, path)) == first
+    ledger.extend(keyed(spark, rows), path, PARTS, 0.3, 7, 2)
+    later = {(r.a, r.b): r.generation for r in ledger.load(spark, path).collect()}
+    assert len(later) == 180 and {k for k, g in later.items() if g == 1} == first and ledger.generations(spark, path) == [1, 2]
+    (tmp_path / "ledger" / "part_2" / "_SUCCESS").unlink()  # a part that broke off
+    assert chosen(ledger.load(spark, path)) == first
+    ledger.extend(keyed(spark, rows), path, PARTS, 0.3, 7, 2)
+    assert {(r.a, r.b): r.generation for r in ledger.load(spark, path).collect()} == later
+    with pytest.raises(ValueError):
+        ledger.extend(keyed(spark, rows), path, PARTS, 0.3, 7, 0)
+
+
+def test_the_sample_query_keeps_the_ledger_that_the_session_names(spark, tmp_path):
+    from driftloom.llm import queries
+
+    spark.conf.set(queries.LEDGER_FOLDER, str(tmp_path))
+    try:
+        first = queries.p5_sample(spark, "/root/testdata/sf0.001").collect()
+        written = sorted(p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet"))
+        assert sorted(map(str, queries.p5_sample(spark, "/root/testdata/sf0.001").collect())) == sorted(map(str, first))
+        assert sorted(p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")) == written
+    finally:
+        spark.conf.unset(queries.LEDGER_FOLDER)
+
+
+def test_percentile_queries_keep_their_bound_at_any_size(spark, tmp_path):
+    from driftloom.llm import queries
+
+    rng = random.Random(2)
+    rows = [("w", rng.choice([-1, 1]) * v * rng.uniform(1, 2), v * 3.3) for v in (1e-9, 1e-12, 3e-7, 1.0, 1e9, 1e15) for _ in range(50)]
+    spark.createDataFrame(rows, "window_id string, local_aa_score double, loss double").write.parquet(str(tmp_path / "gradient_scores.parquet"))
+    for r in queries.p6_percentiles(spark, str(tmp_path)).collect():
+        own = sorted(x[1 if r.metric == "local_aa_score" else 2] for x in rows)
+        exact = own[int(r.p * (len(own) - 1))]
+        assert abs(r.estimate - exact) <= queries.ALPHA * abs(exact), (r, exact)
