@@ -52,14 +52,20 @@ def p1_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(truncation.significant_lengths(_features(spark, sf_dir), SOURCE))
 
 
+def p2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal repeat of two sequences, with both starts and its length."""
+    found = spans.repeats(table(spark, sf_dir, "sampled_sequences"), "sample_id", "token_ids", SHARED_IDS)
+    return found.withColumnsRenamed({"key_a": "sample_id_a", "key_b": "sample_id_b"})
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans.pairs(table(spark, sf_dir, "sampled_sequences"), "sample_id", "token_ids", SHARED_IDS)
-    return found.select(F.col("key_a").alias("sample_id_a"), F.col("key_b").alias("sample_id_b"))
+    return p2_repeats(spark, sf_dir).select("sample_id_a", "sample_id_b").distinct()
 
 
 def p2_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spans.shared_windows(table(spark, sf_dir, "sampled_sequences"), "sample_id", "token_ids", SHARED_IDS)
-    return spans.stretches(shared, SHARED_IDS).withColumnRenamed("key", "sample_id")
+    """The shared stretches of each sequence, with how many sequences and places hold the same ids."""
+    found = spans.classes(table(spark, sf_dir, "sampled_sequences"), "sample_id", "token_ids", SHARED_IDS)
+    return found.select(F.col("key").alias("sample_id"), "start", "n_ids", "records", "places")
 
 
 def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,4 +169,4 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(spark, table(spark, sf_dir, "documents"), "doc_id", "text", _lexicon(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_source_shares, p1_limits, p2_found, p2_stretches, p2_coverage, p3_found, p3_counts, p5_sample, p6_percentiles, p6_percentiles_of_days, p7_found, p7_top_rows, p8_bins, p8_fill, p9_mix, p9_shares, p10_found, p10_counts, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_source_shares, p1_limits, p2_found, p2_repeats, p2_stretches, p2_coverage, p3_found, p3_counts, p5_sample, p6_percentiles, p6_percentiles_of_days, p7_found, p7_top_rows, p8_bins, p8_fill, p9_mix, p9_shares, p10_found, p10_counts, p10_redacted)}

@@ -53,7 +53,13 @@ stretches AS (SELECT sample_id, min(start) AS start, max(start) - min(start) + 3
 
 ORACLE = {
     "p2_found": _GRAMS + "SELECT DISTINCT a.sample_id AS sample_id_a, b.sample_id AS sample_id_b FROM held a JOIN held b ON a.h = b.h AND a.sample_id < b.sample_id",
-    "p2_stretches": _GRAMS + "SELECT sample_id, start, n_ids FROM stretches",
+    "p2_repeats": _GRAMS + """, met AS (SELECT a.sample_id AS x, b.sample_id AS y, a.i AS i, a.i - b.i AS d FROM held a JOIN held b ON a.h = b.h AND a.sample_id < b.sample_id),
+rep AS (SELECT x, y, d, i, i - row_number() OVER (PARTITION BY x, y, d ORDER BY i) AS run FROM met)
+SELECT x AS sample_id_a, min(i) - 1 AS start_a, y AS sample_id_b, min(i) - d - 1 AS start_b, max(i) - min(i) + 32 AS n_ids FROM rep GROUP BY x, y, d, run""",
+    "p2_stretches": _GRAMS + """, sets AS (SELECT h, list_sort(list(sample_id || ':' || i)) AS own, list_sort(list(sample_id || ':' || (i - 1))) AS prior, count(*) AS places, count(DISTINCT sample_id) AS records FROM held GROUP BY h),
+told AS (SELECT sample_id, i, records, places, CASE WHEN lag(i) OVER w = i - 1 AND lag(own) OVER w = prior THEN 0 ELSE 1 END AS brk FROM held JOIN sets USING (h) WINDOW w AS (PARTITION BY sample_id ORDER BY i)),
+cls AS (SELECT *, sum(brk) OVER (PARTITION BY sample_id ORDER BY i) AS run FROM told)
+SELECT sample_id, min(i) - 1 AS start, max(i) - min(i) + 32 AS n_ids, any_value(records) AS records, any_value(places) AS places FROM cls GROUP BY sample_id, run""",
     "p2_coverage": _GRAMS + """
 SELECT sample_id, n_ids, coalesce(s, 0) AS shared_ids, CASE WHEN n_ids > 0 THEN coalesce(s, 0) / n_ids ELSE 0.0 END AS shared_share
 FROM (SELECT sample_id, max(coalesce(len(token_ids), 0)) AS n_ids FROM sampled_sequences WHERE sample_id IS NOT NULL GROUP BY 1)

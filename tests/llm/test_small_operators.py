@@ -51,6 +51,54 @@ def test_pairs_and_coverage_equal_brute_force(spark, seed):
     assert covered["null"] == covered["empty"] == 0
 
 
+def brute_repeats(rows, n):
+    texts = {(k, tuple(ids)) for k, ids in rows if k is not None and ids is not None}
+    out = set()
+    for (a, x), (b, y) in ((p, q) for p in texts for q in texts if p[0] < q[0]):
+        for d in range(-len(y) + 1, len(x)):
+            i = max(d, 0)
+            while i < len(x) and i - d < len(y):
+                j = i
+                while j < len(x) and j - d < len(y) and x[j] == y[j - d]:
+                    j += 1
+                if j - i >= n:
+                    out.add((a, i, b, i - d, j - i))
+                i = max(j, i + 1)
+    return out
+
+
+@pytest.mark.parametrize("group", [2, 1000])
+def test_repeats_and_classes_equal_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(spans, "GROUP", group)
+    rows = span_rows(3) + [("copy", [7] * 40), ("copy", span_rows(3)[7][1])]
+    df = spark.createDataFrame(rows, "k string, ids array<int>").withColumn("at", F.lit("clash")).repartition(5)
+    got = [tuple(r) for r in spans.repeats(df, "k", "ids", 32).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_repeats(rows, 32)
+    texts = defaultdict(set)
+    for k, ids in rows:
+        texts[k].add(tuple(ids or ()))
+    held = spans.classes(df, "k", "ids", 32).collect()
+    by_class = defaultdict(list)
+    for r in held:
+        by_class[r["class"]].append(r)
+    for own in by_class.values():
+        assert len({r.key for r in own}) == own[0].records >= 2 and len({(r.n_ids, r.places) for r in own}) == 1
+        spelled = [{t[r.start : r.start + r.n_ids] for t in texts[r.key] if len(t) >= r.start + r.n_ids} for r in own]
+        assert set.intersection(*spelled)
+    _, grams = brute_pairs(rows, 32)
+    want = {(k, i) for k, own in texts.items() if k for t in own for i in range(len(t) - 31) if len(grams[t[i : i + 32]]) > 1}
+    assert {(r.key, i) for r in held for i in range(r.start, r.start + r.n_ids - 31)} == want
+
+
+def test_one_header_in_many_records(spark):
+    n = 10_000
+    head = list(range(100, 150))
+    rows = spark.range(n).select(F.concat(F.lit("r"), "id").alias("k"), F.concat(F.array(*map(F.lit, head)), F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: (F.xxhash64("id", i) % 1_000_000_007).cast("int"))).alias("ids"))
+    held = spans.classes(rows, "k", "ids", 32)
+    got = held.groupBy("class", "start", "n_ids", "records", "places").count().collect()
+    assert [tuple(r)[1:] for r in got] == [(0, 50, n, n, n)]
+
+
 def test_spans_of_an_empty_table(spark):
     df = spark.createDataFrame([], "k string, ids array<int>")
     assert spans.pairs(df, "k", "ids", 32).count() == 0 and spans.coverage(df, "k", "ids", 32).count() == 0
