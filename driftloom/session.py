@@ -49,3 +49,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise into the shared checkpoint folder, so that later reads survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores by the hash of a key, if they lie in fewer pieces than there are cores (small or well compressed files), for work that costs far more than a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
