@@ -1,6 +1,6 @@
 """The language of a text: dictionaries of frequent words label what they are sure of, and byte trigrams learn the rest from it.
 
-The model is a table of trigram counts by language, trained over all given texts: those whose language the dictionaries tell with a clear lead count for
+The model is a table of trigram counts by language, trained on a bounded sample of the given texts: those whose language the dictionaries tell with a clear lead count for
 it. Its size is fixed (languages x BUCKETS), so it may reach the driver and be sent to the executors. Languages with a script of their own are
 told by the script.
 
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.session import cut
+
 # Frequent words by language.
 STOPWORDS = {
     "en": "the and is of to that with for you not it be this are was on have from they but what how when which would should if there can my your we",
@@ -32,12 +34,14 @@ LANGUAGES = tuple(STOPWORDS)
 BUCKETS = 8192
 #: What a word of a dictionary weighs beside the trigrams, as log-odds; the share of smoothing; the lead from which a text trains the model.
 VOTE, SMOOTH, SURE = 6.0, 0.2, 25.0
+#: Most texts that the model is fitted on.
+TRAINED = 40_000
 _LANGS_OF: dict[str, tuple[int, ...]] = {}
 for _i, _words in enumerate(STOPWORDS.values()):
     for _w in dict.fromkeys(_words.split()):
         _LANGS_OF[_w] = (*_LANGS_OF.get(_w, ()), _i)
 _LETTERS = re.compile(r"(?:[^\w¿¡]|[\d_])+")  # ¿ and ¡ tell a language as letters do
-_QUOTED = re.compile(r"[\"“„«「『][^\"”“»」』\n]{0,300}[\"”“»」』]")
+_QUOTED = re.compile(r"[\"“„«「『][^\"”“»」』\n]*[\"”“»」』]")
 _CODE = re.compile(r"(?s)```.*?(?:```|$)")
 # Scripts as ranges of code points.
 _SCRIPTS = (("ru", "Ѐ", "ӿ"), ("ko", "가", "힣"), ("el", "Ͱ", "Ͽ"), ("ar", "؀", "ۿ"), ("he", "֐", "׿"), ("hi", "ऀ", "ॿ"), ("th", "฀", "๿"))
@@ -107,11 +111,16 @@ def to_model(counts: np.ndarray) -> np.ndarray:
     return np.log((1 - SMOOTH) * own + SMOOTH * mean).astype(np.float32)
 
 
-def train(df: DataFrame, texts: list[Column], prepare: Sequence[Callable[[str], str]]) -> np.ndarray:
-    """The model of all texts in the given columns, in two rounds: of the texts the dictionaries are sure of, then of those the first model is.
+def train(df: DataFrame, texts: list[Column], prepare: Sequence[Callable[[str], str]], most: int = TRAINED) -> np.ndarray:
+    """The model of texts in the given columns, in two rounds: of the texts the dictionaries are sure of, then of those the first model is.
 
-    ``prepare`` takes from a text of each column the part that is in one language."""
-    long = df.select(F.posexplode(F.array(*texts)).alias("i", "t")).where("t IS NOT NULL")
+    It is fitted on at most ``most`` texts, those of least hash, taken evenly over all rows; every text counts for what it is afterwards. ``prepare`` takes
+    from a text of each column the part that is in one language."""
+    held = [t.alias(f"t{i}") for i, t in enumerate(texts)]
+    columns = [f"t{i}" for i in range(len(texts))]
+    some = df.select(*held).orderBy(F.xxhash64(*columns), *columns).limit(-(-most // len(texts)))  # each task sends no more than these
+    long = cut(some.select(F.posexplode(F.array(*columns)).alias("i", "t")).where("t IS NOT NULL"))
+    long = long.repartition(max(1, min(64, most // 1000)))
     return _round(long, prepare, _round(long, prepare, None))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.llm.tokens import RANKS, token_count
-from driftloom.session import cut
+from driftloom.session import cut, spread
 
 
 def source_key(source: Column | str) -> Column:
@@ -58,7 +58,8 @@ def sainte_lague(weights: Mapping, seats: int, caps: Mapping | None = None) -> d
 def texts_of(df: DataFrame, ident: str, text: str, source: str, ranks: str = RANKS) -> DataFrame:
     """One row per distinct text of at least one token: (text_id, ident, source, n_tokens)."""
     a, b = F.xxhash64(text), F.xxhash64(F.lit(11), F.col(text), F.length(text))
-    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.format_string("%016x%016x", a, b).alias("text_id"), F.struct(F.col(ident).alias("id"), source_key(source).alias("source"), token_count(text, ranks).alias("n")).alias("x"))
+    some = spread(df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(ident, text, source), ident)
+    rows = some.select(F.format_string("%016x%016x", a, b).alias("text_id"), F.struct(F.col(ident).alias("id"), source_key(source).alias("source"), token_count(text, ranks).alias("n")).alias("x"))
     return rows.groupBy("text_id").agg(F.min("x").alias("x")).select("text_id", F.col("x.id").alias(ident), F.col("x.source").alias("source"), F.col("x.n").alias("n_tokens"))
 
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.session import cut
+from driftloom.session import cut, spread
 
 CELLS = 1 << 22
 GIVEN, SURNAME, AMBIGUOUS, NEAR_ID, NEAR_PHONE = 1, 2, 4, 8, 16
@@ -243,7 +243,7 @@ def count_terms(df: DataFrame, text: str) -> DataFrame:
         if words:
             yield out()
 
-    counts = df.select(F.col(text).alias(text)).mapInPandas(run, "kind string, a string, b string, n long, low long")
+    counts = spread(df.select(F.col(text).alias(text)), text).mapInPandas(run, "kind string, a string, b string, n long, low long")
     return counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("low").alias("low"))
 
 
@@ -594,7 +594,7 @@ def mentions(spark: SparkSession, df: DataFrame, ident: str, text: str, lexicon:
             yield pd.DataFrame(rows, columns=[ident, "pii_type", "pii_text", "terms"])
 
     rows = df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"{ident} {kind}, pii_type string, pii_text string, terms array<string>")
+    return spread(rows, "id").mapInPandas(run, f"{ident} {kind}, pii_type string, pii_text string, terms array<string>")
 
 
 def confirmed(found: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -615,4 +615,4 @@ def redact(spark: SparkSession, df: DataFrame, ident: str, text: str, lexicon: D
         for pdf in frames:
             yield pd.DataFrame({ident: pdf["id"], "text": [redacted(t, roles) for t in pdf["text"]]})
 
-    return df.select(F.col(ident).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"{ident} {kind}, text string")
+    return spread(df.select(F.col(ident).alias("id"), F.col(text).alias("text")), "id").mapInPandas(run, f"{ident} {kind}, text string")

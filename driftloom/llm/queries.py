@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftloom.llm import ledger, mixing, packing, pairs, percentiles, pii, spans, topn, truncation
 from driftloom.llm.sql import ORACLE
 from driftloom.llm.tokens import token_count
-from driftloom.session import cut, own_folder, table
+from driftloom.session import cut, own_folder, spread, table
 
 SHARED_IDS = 32
 SAMPLE_PARTS, SAMPLE_SHARE, SAMPLE_SEED = ("sample_id", "batch_idx", "window_id"), 0.2, 1729
@@ -125,7 +125,7 @@ def p7_top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = table(spark, sf_dir, "documents").select("doc_id", token_count("text").alias("n"))
+    sizes = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", token_count("text").alias("n"))
     return packing.place(sizes, "doc_id", "n", CAPACITY)
 
 
