@@ -1,29 +1,32 @@
 """Personal information in free text by information-theoretic sanitisation.
 
-The first pass counts over the whole corpus how terms co-occur: every word, every pair of neighbouring capitalised words ("A B", "A, B"), and the words
-around numbers whose shape alone tells what they are. From these counts, a term's disclosure is the probability that one of its
-occurrences stands with a protected entity, and its information the logarithm of that over the corpus rate:
-
+The first pass counts over the whole corpus how terms co-occur. Terms are words, pairs of neighbouring capitalised words ("A B", "A, B"), and shapes:
+what a mail address, number or street address looks like, without its letters and digits ("+" telephones, "AA0" numbers, "[at]" mail). From these counts
+a term's disclosure is the probability that one of its occurrences stands with a protected entity, and its information the logarithm of that over the
+corpus rate. Terms above both thresholds make the lexicon, and nothing is found that the lexicon does not disclose:
+
+* shapes: how often words that label an entity of their kind stand around them. A shape's share is drawn towards that of all shapes of its kind by
+  PRIOR occurrences, so that rare shapes are judged by their kind. Shapes that nothing else has reveal their entity by themselves once they disclose;
+  shapes that harmless counts share, and shapes below the threshold, need a disclosing word around them;
+* words around telling shapes (form, badge, call) vouch for such entities;
 * surnames follow given names, given names precede surnames; from the table of given names both lexicons grow in rounds of joins on the
-  counted pairs. Words that are mostly something else (Will, Grace) stay below the threshold and are marked as ambiguous;
-* words around telling numbers (form, badge, call) vouch for numbers whose shape is shared with harmless ones.
+  counted pairs. Words that are mostly something else (Will, Grace) stay below the threshold and are marked as ambiguous.
 
-The second pass finds addresses of mail, numbers and street addresses by shape, ambiguous shapes by the disclosure of the words around them, and names
-around terms above the threshold; each is replaced by a placeholder of its type.
+The second pass looks for the shapes and for names, and generalises each that is disclosed to the placeholder of its type.
 
 Scale: both passes are map-only over the texts; what is shuffled are counts of distinct terms and pairs after partial aggregation. Executors get
-the terms above the threshold as a hashed table of CELLS bytes, a size that does not grow with the data; a term counts only if both its
+the terms above the threshold as a hashed table of 2 CELLS bytes, a size that does not grow with the data; a term counts only if both its
 cells are set, and ``confirmed`` removes names that rest on a collision by a join with the lexicon itself.
 
 Defined cases: null and empty texts hold nothing; texts are read whole; a type and text counts once per document; overlaps go to the type first in
-mail, number, telephone, address, name; without given names or pairs no names are found; an empty table gives an empty result.
+mail, number, telephone, address, name; a name broken over a line end is found as its parts; the part of a mail address before the sign has at most 64
+characters, as the standard says, and what is longer is none; without given names or pairs no names are found; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -35,13 +38,15 @@ from pyspark.sql import functions as F
 from driftloom.session import cut, spread
 
 CELLS = 1 << 22
-GIVEN, SURNAME, AMBIGUOUS, NEAR_ID, NEAR_PHONE = 1, 2, 4, 8, 16
+GIVEN, SURNAME, AMBIGUOUS, NEAR_ID, NEAR_PHONE, NEAR_MAIL, NEAR_ADDRESS, TELLING, SEEN = (1 << i for i in range(9))
 TYPES = ("email", "id_number", "phone", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "id_number": "[ID_NUMBER]", "phone": "[PHONE]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: Least probability that an occurrence of a term stands with an entity, and least information in bits over the corpus rate.
 DISCLOSURE, BITS, ROUNDS = 0.15, 4.0, 3
-#: From this probability on, a given name that is mostly another word counts before a surname.
+#: From this probability on, a given name that is mostly another word counts before a surname, and a shape may be vouched for.
 WEAK = 0.02
+#: Occurrences of a kind that a shape's own are added to.
+PRIOR = 5
 _FLUSH = 400_000
 
 # --- words and names -----------------------------------------------------------------------------------------------
@@ -71,21 +76,25 @@ _ID = re.compile(
 )
 # The shape of social security numbers, which other counts share.
 _ID_SHARED = re.compile(r"(?<![\w.+/-])\d{3}([- ])\d\d\1\d{4}(?![\w-]|[.:/]\d)")
-# Telephone numbers with an international prefix, an area in brackets, or four groups.
+# Telephone numbers with an international prefix, an area in brackets, or four groups; a label and a colon may stand right before them.
 _PHONE = re.compile(
-    r"(?<![\w.+/:-])(?:\+\d{1,3}(?:[ ./-]?\(0?\d{0,4}\))?(?:[ ./-]?\d{1,12}){1,6}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\(0\d{1,4}\) ?\d{2,5}(?:[ -]\d{2,5}){0,3}|1[-. ]\d{3}[-. ]\d{3}[-. ]\d{4})(?![\w-]|[.:/]\d)"
+    r"(?:(?<![\w.+/:-])|(?<=[Tt]el:)|(?<=TEL:)|(?<=[Pp]hone:)|(?<=[Ff]ax:)|(?<=sms:)|(?<=[Mm]obile:)|(?<=callto:))(?:\+\d{1,3}(?:[ ./-]?\(0?\d{0,4}\))?(?:[ ./-]?\d{1,12}){1,6}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\(0\d{1,4}\) ?\d{2,5}(?:[ -]\d{2,5}){0,3}|1[-. ]\d{3}[-. ]\d{3}[-. ]\d{4})(?![\w-]|[.:/]\d)"
 )
 # A trunk prefix, or ten digits in three groups, which other counts share.
 _PHONE_SHARED = re.compile(r"(?<![\w.+/:-])(?:0[1-9](?: \d\d){4}|0[1-9]\d{0,4}[ /]\d{3,8}(?:[ -]\d{2,6}){0,3}|\d{3}([-. ])\d{3}\1\d{4})(?![\w-]|[.:/]\d)")
-# Words that label numbers of either kind.
+# Words that label entities of each kind.
 NEAR = {
     NEAR_ID: "ssn passport licence license tax taxid insurance national identity dni nie cpf nif ni steuer steuerid ausweis reisepass pasaporte passeport social badge tax_ref",
     NEAR_PHONE: "phone tel telephone mobile cell call called calling sms fax whatsapp telefon handy teléfono móvil téléphone telefone dial text",
+    NEAR_MAIL: "mail mails email mailto contact write cc bcc to from reply reach reached resend bounced forward correo courriel schreiben escribir écrire kontakt",
+    NEAR_ADDRESS: "address lives lived live home street flat ship shipped parcel post deliver delivery adresse anschrift wohnt dirección domicilio domicile endereço indirizzo lautet",
 }
-_NEAR_FIXED = {w: bit for bit, words in NEAR.items() for w in words.split()}
+_LABELS = {bit: frozenset(words.split()) for bit, words in NEAR.items()}
+KINDS = {"email": NEAR_MAIL, "id_number": NEAR_ID, "phone": NEAR_PHONE, "address": NEAR_ADDRESS}
 
 # --- mail ----------------------------------------------------------------------------------------------------------
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?$")
+_LOCAL_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 # Generic and reserved top-level domains; others have two letters.
 _TLD = r"(?:com|org|net|edu|gov|mil|int|info|biz|name|pro|museum|coop|aero|jobs|mobi|travel|email|online|site|app|dev|example|test|invalid|localhost|[a-z]{2})"
@@ -168,46 +177,96 @@ def _lines(text: str, tokens: Iterable[str], more: int = 0, places: Iterable[int
     return joined
 
 
-# --- first pass ----------------------------------------------------------------------------------------------------
+# --- what may be an entity -----------------------------------------------------------------------------------------
+def _words_beside(text: str, at: int, n: int, ahead: bool) -> list[str]:
+    """The n tokens of the line next to ``at``, however long they are."""
+    size = 80
+    while True:
+        near = text[at : at + size] if ahead else text[max(0, at - size) : at]
+        line = near.split("\n", 1)[0] if ahead else near.rsplit("\n", 1)[-1]
+        tokens = line.split()
+        if len(line) < len(near) or len(near) < size or len(tokens) > n:
+            return tokens[:n] if ahead else tokens[-n:]
+        size *= 4
+
+
 def _around(text: str, start: int, end: int, n: int = 5) -> list[str]:
-    left = text[max(0, start - 80) : start].rsplit("\n", 1)[-1].split()[-n:]
-    right = text[end : end + 80].split("\n", 1)[0].split()[:n]
-    return [t for w in left + right for t in terms_of(w)]
+    return [t for w in _words_beside(text, start, n, False) + _words_beside(text, end, n, True) for t in terms_of(w)]
+
+
+def _back(text: str, at: int, chars: str) -> int:
+    """Where the run of ``chars`` that ends at ``at`` begins."""
+    while at and text[at - 1] in chars:
+        at -= 1
+    return at
 
 
 class _Taken:
-    """Spans that do not overlap, found by bisection."""
+    """Spans of one text that do not overlap."""
 
-    def __init__(self) -> None:
-        self.starts: list[int] = []
-        self.spans: list[tuple] = []
+    def __init__(self, size: int) -> None:
+        self.marks = bytearray(size)
 
-    def add(self, span: tuple) -> bool:
+    def add(self, start: int, end: int) -> bool:
         """Takes the span unless it overlaps one that is taken."""
-        i = bisect(self.starts, span[0])
-        if i and self.spans[i - 1][1] > span[0] or i < len(self.starts) and self.starts[i] < span[1]:
+        if self.marks.find(1, start, end) >= 0:
             return False
-        self.starts.insert(i, span[0])
-        self.spans.insert(i, span)
+        self.marks[start:end] = b"\x01" * (end - start)
         return True
 
 
-def _strong(text: str) -> Iterator[tuple[int, int, int]]:
-    """(role of the words around, start, end) of numbers whose shape tells."""
-    taken = _Taken()
+def _shape_of(kind: str, found: str) -> str:
+    """The term of an entity's shape: no word of a text can be equal to it."""
+    if kind == "email":
+        return "email:" + next((m.strip() for m in _AT_MARKS if m in found.lower()), "@")
+    if kind == "phone" and found[0] in "+(":
+        return "phone:" + found[0]
+    return f"{kind}:" + _RUN.sub("0", _LETTER.sub("A", found))
+
+
+_RUN, _LETTER = re.compile(r"\d+"), re.compile(r"[A-Za-z]")
+
+
+def _strong(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of numbers of shapes that nothing else has."""
+    taken = _Taken(len(text))
     for m in _ID.finditer(text):
-        taken.add(m.span())
-        yield NEAR_ID, m.start(), m.end()
+        taken.add(*m.span())
+        yield "id_number", m.start(), m.end()
     for m in _PHONE.finditer(text):
-        if 7 <= sum(c.isdigit() for c in m.group()) <= 15 and taken.add(m.span()):
-            yield NEAR_PHONE, m.start(), m.end()
+        if 7 <= sum(c.isdigit() for c in m.group()) <= 15 and taken.add(*m.span()):
+            yield "phone", m.start(), m.end()
 
 
+def _candidates(text: str, called: dict[str, int]) -> Iterator[tuple[str, str, bool, int, int]]:
+    """(kind, shape, whether nothing else has it, start, end) of what looks like mail, a number or an address."""
+    for a, b in _mails(text):
+        yield "email", _shape_of("email", text[a:b]), True, a, b
+    for lo, hi in _number_lines(text, [t for t, w in called.items() if w & _CALL_NUMBER]):
+        line = text[lo:hi]
+        for kind, a, b in _strong(line):
+            yield kind, _shape_of(kind, line[a:b]), True, lo + a, lo + b
+        for kind, shape in (("id_number", _ID_SHARED), ("phone", _PHONE_SHARED)):
+            for m in shape.finditer(line):
+                yield kind, _shape_of(kind, m.group()), False, lo + m.start(), lo + m.end()
+    seen = 0
+    for wanted in called.values():
+        seen |= wanted
+    if seen & (_CALL_STREET | _CALL_BOX | _CALL_POSTCODE):
+        codes = {t for t, w in called.items() if w & _CALL_POSTCODE}  # the street may stand on the line before, and call for nothing
+        for lo, hi in _lines(text, [t for t, w in called.items() if w & (_CALL_STREET | _CALL_BOX | _CALL_POSTCODE | _CALL_ROMANCE)], 1, second=codes):
+            for style, a, b in _addresses(text[lo:hi], seen):
+                yield "address", f"address:{style}", True, lo + a, lo + b
+
+
+# --- first pass ----------------------------------------------------------------------------------------------------
 def count_terms(df: DataFrame, text: str) -> DataFrame:
-    """(kind, a, b, n, low): kind w words, p pairs "a b", v pairs "b, a" (a given name second in the text), c words around numbers of role b."""
+    """(kind, a, b, n, low): kind w words, p pairs "a b", v pairs "b, a" (a given name second in the text), s shapes a of kind b with those beside a label
+    in ``low``, c words a around shapes b that nothing else has."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, pairs, near = Counter(), Counter(), Counter()
+        words, pairs, near, shapes, labelled = Counter(), Counter(), Counter(), Counter(), Counter()
+        calls = _Roles(np.zeros(1, np.uint16))
 
         def out() -> pd.DataFrame:
             rows, low = Counter(), Counter()
@@ -222,8 +281,11 @@ def count_terms(df: DataFrame, text: str) -> DataFrame:
                 for x in [_ANY_GIVEN] if alone else terms_of(a):
                     for y in terms_of(alone or b):
                         rows["v" if comma else "p", y if comma else x, x if comma else y] += n
-            for (t, role), n in near.items():
-                rows["c", t, str(role)] += n
+            for (t, shape), n in near.items():
+                rows["c", t, shape] += n
+            for (kind, shape), n in shapes.items():
+                rows["s", shape, kind] += n
+                low["s", shape, kind] += labelled[kind, shape]
             return pd.DataFrame([(*k, n, low[k]) for k, n in rows.items()], columns=["kind", "a", "b", "n", "low"])
 
         for pdf in frames:
@@ -233,13 +295,15 @@ def count_terms(df: DataFrame, text: str) -> DataFrame:
                 tokens = t.split()
                 words.update(tokens)
                 pairs.update(_PAIR.findall(t))
-                for lo, hi in _number_lines(t, [x for x in set(tokens) if not x.isalpha() and _NUMBER_TOKEN.search(x) or len(x) == 2 and x.isupper()]):
-                    line = t[lo:hi]
-                    for role, start, end in _strong(line):
-                        near.update((w, role) for w in set(_around(line, start, end)))
-            if len(words) + len(pairs) > _FLUSH:
+                for kind, shape, own, start, end in _candidates(t, calls.calling(set(tokens))):
+                    beside = set(_around(t, start, end))
+                    shapes[kind, shape] += 1
+                    labelled[kind, shape] += not beside.isdisjoint(_LABELS[KINDS[kind]])
+                    if own:
+                        near.update((w, shape) for w in beside)
+            if len(words) + len(pairs) + len(near) > _FLUSH:
                 yield out()
-                words, pairs, near = Counter(), Counter(), Counter()
+                words, pairs, near, shapes, labelled = Counter(), Counter(), Counter(), Counter(), Counter()
         if words:
             yield out()
 
@@ -283,9 +347,20 @@ def disclosing_terms(spark: SparkSession, counts: DataFrame, given: DataFrame, g
     vague = (share < DISCLOSURE) & (seen >= 5) | (F.coalesce("seen_low", F.lit(0)) > 0.3 * seen)
     lexicon = own.select("term", F.when(vague, GIVEN | AMBIGUOUS).otherwise(GIVEN).alias("roles"), share.alias("disclosure"), F.coalesce("bits", F.lit(0.0)).alias("bits"))
     lexicon = lexicon.unionByName(surnames.select("term", F.lit(SURNAME).alias("roles"), "disclosure", "bits"))
-    for role in NEAR:
-        near = counts.where((F.col("kind") == "c") & (F.col("b") == str(role))).select(F.col("a").alias("term"), F.col("n").alias("hits"))
-        terms = scored(near).where((F.col("hits") >= 3) & (F.col("disclosure") >= DISCLOSURE) & (F.col("bits") >= BITS))
+    shapes = counts.where("kind = 's'").groupBy(F.col("a").alias("shape"), F.col("b").alias("of")).agg(F.sum("n").alias("n"), F.sum("low").alias("hits"))
+    kinds = shapes.groupBy("of").agg((F.sum("hits") / F.sum("n")).alias("share"), F.sum("hits").alias("all_hits"))  # one row per kind
+    shapes = shapes.join(F.broadcast(kinds), "of").withColumn("disclosure", (F.col("hits") + PRIOR * F.col("share")) / (F.col("n") + PRIOR))
+    shapes = shapes.withColumn("bits", F.log2(F.col("disclosure") * max(total, 1) / F.greatest(F.col("all_hits"), F.lit(1))))
+    telling_shapes = (F.col("disclosure") >= DISCLOSURE) & (F.col("bits") >= BITS)
+    shapes = cut(shapes.where(F.col("disclosure") >= WEAK).withColumn("roles", F.when(telling_shapes, SEEN | TELLING).otherwise(SEEN)))
+    lexicon = lexicon.unionByName(shapes.select(F.col("shape").alias("term"), "roles", "disclosure", "bits"))
+    own = shapes.where(F.col("roles") > SEEN).select(F.col("shape").alias("b"), "of")
+    around = counts.where("kind = 'c'").join(own, "b").groupBy("of", F.col("a").alias("term")).agg(F.sum("n").alias("hits"))
+    for kind, role in KINDS.items():
+        near = scored(around.where(F.col("of") == kind).drop("of"))
+        terms = near.where((F.col("hits") >= 3) & (F.col("disclosure") >= DISCLOSURE) & (F.col("bits") >= BITS)).select("term", "disclosure", "bits")
+        labels = spark.createDataFrame([(t, kind) for t in sorted(_LABELS[role])], "term string, of string").join(own.select("of").distinct(), "of", "left_semi")
+        terms = terms.unionByName(labels.select("term", F.lit(0.0).alias("disclosure"), F.lit(0.0).alias("bits")))  # labels count where their kind is disclosed
         lexicon = lexicon.unionByName(terms.select("term", F.lit(role).alias("roles"), "disclosure", "bits"))
     return lexicon.groupBy("term").agg(F.bit_or("roles").alias("roles"), F.max("disclosure").alias("disclosure"), F.max("bits").alias("bits"))
 
@@ -304,8 +379,8 @@ def to_table(lexicon: DataFrame, size: int = CELLS) -> np.ndarray:
             yield pd.DataFrame(rows, columns=["cell", "roles"])
 
     set_ = lexicon.select("term", F.col("roles").cast("int")).mapInPandas(run, "cell int, roles int").groupBy("cell").agg(F.bit_or("roles").alias("roles")).toPandas()  # at most ``size`` rows
-    table = np.zeros(size, np.uint8)
-    table[set_["cell"].to_numpy(np.int64)] = set_["roles"].to_numpy(np.uint8)
+    table = np.zeros(size, np.uint16)
+    table[set_["cell"].to_numpy(np.int64)] = set_["roles"].to_numpy(np.uint16)
     return table
 
 
@@ -320,7 +395,7 @@ class _Roles(dict):
 
     def term(self, t: str) -> int:
         a, b = _cells(t, len(self.table))
-        return int(self.table[a] & self.table[b]) | _NEAR_FIXED.get(t, 0)
+        return int(self.table[a] & self.table[b])
 
     def __missing__(self, word: str) -> int:
         own, roles = [self.term(t) for t in terms_of(word)], 0
@@ -380,8 +455,9 @@ def _mails(text: str) -> Iterator[tuple[int, int]]:
     for start, end in ats:
         if start < end_of_last:
             continue
-        local = _LOCAL.search(low, max(end_of_last, start - 64), start)
-        if not local:
+        at = max(end_of_last, _back(low, start, _LOCAL_CHARS))
+        local = _LOCAL.search(low, at, start)
+        if not local or start - local.start() > 64:
             continue
         domain = _DOMAIN.match(low, end)
         if not domain or _COUNTED.match(domain.group()):
@@ -392,42 +468,45 @@ def _mails(text: str) -> Iterator[tuple[int, int]]:
         yield local.start(), domain.end()
 
 
-def _numbers(text: str, roles: _Roles) -> Iterator[tuple[str, int, int]]:
-    for role, start, end in _strong(text):
-        yield ("id_number" if role == NEAR_ID else "phone"), start, end
-    for kind, bit, shape in (("id_number", NEAR_ID, _ID_SHARED), ("phone", NEAR_PHONE, _PHONE_SHARED)):
-        for m in shape.finditer(text):
-            if _vouched(text, m.start(), m.end(), bit, roles):
-                yield kind, m.start(), m.end()
+def _disclosed(text: str, kind: str, shape: str, own: bool, start: int, end: int, roles: _Roles) -> bool:
+    """The shape discloses and nothing else has it; or the shape is known to stand with entities, and something around vouches for this one."""
+    role = roles.term(shape)
+    if own and role & TELLING:
+        return True
+    return bool(role & SEEN) and _vouched(text, start, end, KINDS[kind], roles)
 
 
 def _vouched(text: str, start: int, end: int, bit: int, roles: _Roles) -> bool:
-    """Some word around discloses numbers of this kind, a mail address or name stands by, or the number fills its field or line."""
-    around = _around(text, start, end)
-    if any(roles.term(t) & bit for t in around):
+    """Some word around discloses entities of this kind, a mail address or name stands by, or the entity fills its field or line."""
+    around = [roles.term(t) for t in _around(text, start, end)]
+    if any(r & bit for r in around):
         return True
-    left, right = text[max(0, start - 80) : start].rsplit("\n", 1)[-1], text[end : end + 80].split("\n", 1)[0]
-    if not left.strip(" \t-*•") and not right.strip(" \t.,;"):
+    left = _back(text, start, " \t-*•")
+    if (not left or text[left - 1] == "\n") and _LINE_ENDS.match(text, end):
         return True
-    if re.search(r"[;>|\t(]\s*$", left) and re.match(r"\s*[;<|\t)]", right):
+    left = _back(text, start, " \t\r\f\v")
+    if (left < start and text[left] == "\t" or left and text[left - 1] in ";>|(") and _FIELD_ENDS.match(text, end):
         return True
-    return any(roles.term(t) & (GIVEN | SURNAME) and not roles.term(t) & AMBIGUOUS for t in around)
+    return any(r & (GIVEN | SURNAME) and not r & AMBIGUOUS for r in around)
+
 
+_LINE_ENDS, _FIELD_ENDS = re.compile(r"[ \t.,;]*(?:\n|$)"), re.compile(r"[^\S\n]*[;<|\t)]")
 
-def _addresses(text: str, seen: int) -> Iterator[tuple[int, int]]:
+
+def _addresses(text: str, seen: int) -> Iterator[tuple[str, int, int]]:
     if seen & _CALL_STREET:
         for m in _ENGLISH.finditer(text):
-            yield m.span()
+            yield "english", *m.span()
     if seen & _CALL_BOX:
         for m in _BOX.finditer(text):
-            yield m.span()
+            yield "box", *m.span()
     if seen & _CALL_POSTCODE:
         if seen & _CALL_ROMANCE:
-            for shape in (_FRENCH, _SPANISH):
+            for style, shape in (("french", _FRENCH), ("spanish", _SPANISH)):
                 for m in shape.finditer(text):
-                    yield m.span()
+                    yield style, *m.span()
         for m in _GERMAN.finditer(text):
-            yield m.span()
+            yield "german", *m.span()
 
 
 _WORDS = re.compile(r"(?:[OoDd]['’])?[^\W\d_]+(?:[-’'][^\W\d_]{2,})*")
@@ -477,8 +556,8 @@ def _next_name_word(line: str, words: list, i: int) -> int | None:
         w = words[j][2]
         if _GAP.fullmatch(gap) and not (_GAP.fullmatch(line[words[i][1] : words[j][1]] + " ") or len(w) == 1):
             return j
-        if len(gap) > 24 or j > i + 5:
-            return None
+        if j > i + 5 or len(w) > 1 and not _GAP.fullmatch(line[words[i][1] : words[j][1]] + " "):
+            return None  # a word that is no part of a particle: the name ends before it
         j += 1
     return None
 
@@ -510,8 +589,12 @@ def _grow(line: str, words: list, i: int, used: int) -> tuple[int, int, list[str
                 begins_another = k is not None and words[k][3] & SURNAME and fits(words[k][2])
                 if not begins_another:
                     return _from_particle(line, start), nxt[1], [*terms_of(w), *terms_of(nxt[2])]
-        near = max(used, start - 60)
+        near, size = max(used, start - 60), 60
         initial = _INITIALS.search(line[near:start])
+        while initial and near > used and initial.start() < 8:  # it may begin further to the left
+            size *= 4
+            near = max(used, start - size)
+            initial = _INITIALS.search(line[near:start])
         if initial and shape != "lower":
             return near + initial.start(1), end, terms_of(w)
         if shape == "lower":
@@ -519,15 +602,20 @@ def _grow(line: str, words: list, i: int, used: int) -> tuple[int, int, list[str
         return _from_particle(line, start), end, terms_of(w)
     if shape == "lower":
         return None
-    left, right = line[max(0, start - 60) : start], line[end : end + 60]
-    prior = re.search(r"([^\W\d_]+)[ ,]+$", left)
-    greeted = left.endswith("@") or prior and prior.group(1).lower() in _GREETING and re.match(r"\s*[,!:.]|\s*$", right)
-    leaves = re.match(r" (?:has|had) (?:left|gone|moved|joined|asked|written)\b| is (?:away|out|back|on leave)\b", right)
+    gap = _back(line, start, " ,")
+    prior = _GREETED.search(line[max(0, gap - 8) : gap]) if gap < start else None
+    greeted = line[start - 1 : start] == "@" or prior and prior.group().lower() in _GREETING and _AFTER_GREETING.match(line, end)
+    leaves = _LEAVES.match(line, end)
     if role & AMBIGUOUS and not greeted and not leaves:
         return None
     return start, end, terms_of(w)
 
 
+_GREETED = re.compile(r"[^\W\d_]+$")  # greetings have at most seven letters
+_AFTER_GREETING = re.compile(r"\s*[,!:.]|\s*$")
+_LEAVES = re.compile(r" (?:has|had) (?:left|gone|moved|joined|asked|written)\b| is (?:away|out|back|on leave)\b")
+
+
 def _from_particle(line: str, start: int) -> int:
     m = re.search(r"(?:^|(?<=\W))%s$" % _PARTICLE, line[max(0, start - 20) : start])
     return max(0, start - 20) + m.start() if m and m.group().strip() not in ("de", "la", "el", "le", "da", "do", "al", "den", "der", "du", "del", "zu") else start
@@ -537,28 +625,16 @@ def find(text: str | None, roles: _Roles) -> list[tuple[int, int, str, list[str]
     """(start, end, type, terms) of the entities of a text, in order and without overlaps."""
     if not text:
         return []
-    spans = [(a, b, "email", []) for a, b in _mails(text)]
     called = roles.calling(set(text.split()))
-    for lo, hi in _number_lines(text, [t for t, w in called.items() if w & _CALL_NUMBER]):
-        spans += [(lo + a, lo + b, kind, []) for kind, a, b in _numbers(text[lo:hi], roles)]
-    if called:
-        seen = 0
-        for wanted in called.values():
-            seen |= wanted
-        if seen & (_CALL_STREET | _CALL_BOX | _CALL_POSTCODE):
-            codes = {t for t, w in called.items() if w & _CALL_POSTCODE}  # the street may stand on the line before, and call for nothing
-            for lo, hi in _lines(text, [t for t, w in called.items() if w & (_CALL_STREET | _CALL_BOX | _CALL_POSTCODE | _CALL_ROMANCE)], 1, second=codes):
-                spans += [(lo + a, lo + b, "address", []) for a, b in _addresses(text[lo:hi], seen)]
-        for lo, hi in _lines(text, [t for t, w in called.items() if w & _CALL_NAME]):
-            at = lo
-            for line in text[lo:hi].split("\n"):
-                spans += [(at + a, at + b, "name", terms) for a, b, terms in _names_of_line(line, roles)]
-                at += len(line) + 1
+    spans = [(a, b, kind, []) for kind, shape, own, a, b in _candidates(text, called) if _disclosed(text, kind, shape, own, a, b, roles)]
+    for lo, hi in _lines(text, [t for t, w in called.items() if w & _CALL_NAME]):
+        at = lo
+        for line in text[lo:hi].split("\n"):
+            spans += [(at + a, at + b, "name", terms) for a, b, terms in _names_of_line(line, roles)]
+            at += len(line) + 1
     rank = {t: i for i, t in enumerate(TYPES)}
-    kept = _Taken()
-    for s in sorted(spans, key=lambda s: (rank[s[2]], s[0] - s[1], s[0])):
-        kept.add(s)
-    return kept.spans
+    kept = _Taken(len(text))
+    return sorted(s for s in sorted(spans, key=lambda s: (rank[s[2]], s[0] - s[1], s[0])) if kept.add(s[0], s[1]))
 
 
 def redacted(text: str | None, roles: _Roles) -> str | None:
@@ -579,7 +655,7 @@ def learn(spark: SparkSession, df: DataFrame, text: str, given: DataFrame, given
 
 def mentions(spark: SparkSession, df: DataFrame, ident: str, text: str, lexicon: DataFrame) -> DataFrame:
     """(ident, pii_type, pii_text, terms), each type and text once per document and row."""
-    table = spark.sparkContext.broadcast(to_table(lexicon))  # CELLS bytes
+    table = spark.sparkContext.broadcast(to_table(lexicon))  # 2 CELLS bytes
     kind = df.schema[ident].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
