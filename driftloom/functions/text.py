@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 WS = r"(?U)[\s\x1c-\x1f]"
 
 
+# Fixed value: what begins an item of a list.
+LIST_ITEM = WS.replace("(?U)", r"(?U)\n", 1) + r"*(?:[-*]|\d+[.)])" + WS.replace("(?U)", "") + "+"
+
+
 def collapse(t: Column) -> Column:
     """White space runs to one blank, none at the ends."""
     return F.trim(F.regexp_replace(t, WS + "+", " "))
@@ -50,12 +54,17 @@ def sanitized(t: Column) -> Column:
     return F.regexp_replace(t, "[^a-zA-Z0-9_.-]+", "_")
 
 
-def cleaned_response(t: Column) -> Column:
-    """Up to the first list item; a colon at the end becomes a full stop; then up to the last end of a sentence, if there is any."""
-    head = strip(F.element_at(F.split(t, r"\n\s*(?:[-*]|[0-9]+[.)])\s+", 2), 1))
-    head = F.regexp_replace(head, ":$", ".")
-    sentence = F.regexp_extract(head, r"(?s)^(.*[.?!]).*$", 1)
-    return F.when(sentence != "", sentence).otherwise(head)
+def cleaned_response(t: Column, strip_lists: bool = True, trim_to_sentence: bool = True) -> Column:
+    """Stripped; without lists, up to the first list item, where a colon at the end, with what blanks it, becomes a full stop; trimmed, up to
+    the last end of a sentence, if there is any."""
+    head = strip(t)
+    if strip_lists:
+        head = strip(F.element_at(F.split(head, LIST_ITEM, 2), 1))
+        head = F.regexp_replace(head, WS + r"*:\z", ".")
+    if trim_to_sentence:
+        sentence = F.regexp_extract(head, r"(?s)^(.*[.?!]).*$", 1)
+        head = F.when(sentence != "", sentence).otherwise(head)
+    return head
 
 
 def selection_hash(seed: int, namespace: str, ident: Column) -> Column:

@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from driftloom.functions import vectors as V
 
 
+#: Bytes of matrices that a task holds before it hands them on.
+HELD = 1 << 27
+
+
 def mean_vectors(df: DataFrame, keys: Sequence[str], vec: str, out: str = "mean") -> DataFrame:
     """(keys, n, mean). Null vectors are left out; a group without vectors has no row."""
     rows = df.where(F.col(vec).isNotNull()).select(*keys, array_to_vector(V.as_double(vec)).alias("_v"))
@@ -25,6 +29,12 @@ def mean_vectors(df: DataFrame, keys: Sequence[str], vec: str, out: str = "mean"
     return grouped.agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("_v")).alias("_m")).where("n > 0").select(*keys, "n", vector_to_array("_m").alias(out))
 
 
+def sum_vectors(df: DataFrame, keys: Sequence[str], vec: str, out: str = "sum") -> DataFrame:
+    """(keys, sum), added up partially; null vectors are left out."""
+    rows = df.where(F.col(vec).isNotNull()).select(*keys, array_to_vector(V.as_double(vec)).alias("_v"))
+    return rows.groupBy(*keys).agg(Summarizer.sum(F.col("_v")).alias("_s")).select(*keys, vector_to_array("_s").alias(out))
+
+
 def contrast(df: DataFrame, keys: Sequence[str], vec: str, default: Column, other: Column) -> DataFrame:
     """(keys, axis, raw_norm, midpoint): the unit difference of both sides' means. Keys where a side is empty or the norm is 0 have no row."""
     side = F.when(default, "default").when(other, "contrast")
@@ -47,12 +57,16 @@ def scatter(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
+        out = lambda: pd.DataFrame([(*k, v) for k, v in held.items()], columns=[*keys, "flat"])
         for pdf in frames:
+            if sum(v.nbytes for v in held.values()) > HELD:
+                yield out()
+                held.clear()
             for key, own in pdf.groupby(list(keys), dropna=False) if keys else [((), pdf)]:
                 x = np.stack(own["v"].to_numpy()).astype(float)
                 flat = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
                 held[key] = held[key] + flat if key in held else flat
-        yield pd.DataFrame([(*k, v) for k, v in held.items()], columns=[*keys, "flat"])
+        yield out()
 
     rows = df.where(F.col(vec).isNotNull()).select(*keys, V.as_double(vec).alias("v"))
     types = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from driftloom.session import cut
 
+#: A reference that so many rows make is met in several tasks.
+HOT = 1_000_000
 REASONS = ("missing", "late", "deleted")
 
 
@@ -61,15 +63,17 @@ def parents_by_key(parent: DataFrame, edge: Edge) -> DataFrame:
 def direct_orphans(child: DataFrame, parent: DataFrame, edge: Edge) -> DataFrame:
     """(row_key, ref, at, reason), one row per child key."""
     rows = child.select(_text(edge.child_key).alias("row_key"), _text(edge.ref).alias("ref"), _time(edge.child_time).alias("at")).where(F.col("ref").isNotNull())
-    refs = rows.groupBy("ref").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    refs = rows.groupBy("ref").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n"))
     suspect = (
         refs.join(parents_by_key(parent, edge).withColumn("present", F.lit(True)), "ref", "left")
         .where(F.col("present").isNull() | (F.col("created") > F.col("first_at")) | (F.col("deleted") <= F.col("last_at")))
-        .select("ref", "present", "created", "deleted")
+        .select("ref", "present", "created", "deleted", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / HOT).cast("int"))).alias("salt"), F.floor(F.col("n") / HOT).cast("int").alias("last_salt"))
     )
+    hot = cut(suspect.where("last_salt > 0").select("ref", "last_salt").distinct())  # a reference in HOT rows or more: at most one per HOT rows of the child
+    salts = rows.join(hot, "ref", "left").withColumn("salt", F.when(F.col("last_salt").isNull(), 0).otherwise(F.pmod(F.xxhash64("row_key"), F.col("last_salt") + 1).cast("int"))).drop("last_salt") if not hot.isEmpty() else rows.withColumn("salt", F.lit(0))
     reason = F.when(F.col("present").isNull(), 0).when(F.col("created") > F.col("at"), 1).when(F.col("deleted") <= F.col("at"), 2)
     return (
-        rows.join(suspect, "ref")
+        salts.join(suspect.drop("last_salt"), ["ref", "salt"])
         .withColumn("rank", reason)
         .where(F.col("rank").isNotNull())
         .groupBy("row_key")

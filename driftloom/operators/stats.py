@@ -65,21 +65,34 @@ def ordered_cell(x: Column) -> Column:
     return F.when(x == 0, F.lit(0)).otherwise((F.signum(x) * size).cast("long"))
 
 
+#: Cells that the values of one cell are spread over again, by their place between its least and greatest.
+_FINE = 1 << 16
+
+
 def _cells(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """The rows with their cell, and per cell its count, the rows below it and the rows of its group. Windows run over cells, not rows."""
-    celled = df.withColumn("_cell", ordered_cell(F.col(value)))
+    """The rows with their cell and finer cell, and per finer cell its count, the rows below it and the rows of its group. Windows run over cells, not rows.
+
+    Values that lie close together share a cell of relative width, however many they are; so each cell is divided once more by its own range."""
+    x = F.col(value)
+    celled = df.withColumn("_cell", ordered_cell(x))
+    ranges = celled.groupBy(*keys, "_cell").agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    fine = F.when(F.col("_hi") > F.col("_lo"), F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _FINE)).otherwise(0)
+    celled = celled.join(ranges, [*keys, "_cell"]).withColumn("_fine", fine).drop("_lo", "_hi")
+    hist = celled.groupBy(*keys, "_cell", "_fine").agg(F.count(F.lit(1)).alias("_in"))
+    cells = hist.groupBy(*keys, "_cell").agg(F.sum("_in").alias("_cell_in"))
     by = Window.partitionBy(*keys)
-    hist = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_in"))
-    hist = hist.withColumn("_below", F.sum("_in").over(by.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")).withColumn("_all", F.sum("_in").over(by))
-    return celled, hist
+    cells = cells.withColumn("_cell_below", F.sum("_cell_in").over(by.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_cell_in")).withColumn("_all", F.sum("_cell_in").over(by))
+    within = Window.partitionBy(*keys, "_cell").orderBy("_fine").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("_below", F.sum("_in").over(within) - F.col("_in")).join(cells, [*keys, "_cell"])
+    return celled, hist.withColumn("_below", F.col("_below") + F.col("_cell_below")).drop("_cell_in", "_cell_below")
 
 
 def value_at(df: DataFrame, keys: Sequence[str], value: str, fraction: float) -> DataFrame:
-    """(keys, value): the element at index floor(n * fraction) of each group's finite ascending values, exact; only one cell of a group is sorted."""
+    """(keys, value): the element at index floor(n * fraction) of each group's finite ascending values, exact; only one finer cell of a group is sorted."""
     celled, hist = _cells(df, keys, value)
     at = F.least(F.floor(F.col("_all") * fraction), F.col("_all") - 1)
-    cell = hist.where((F.col("_below") <= at) & (F.col("_below") + F.col("_in") > at)).select(*keys, "_cell", (at - F.col("_below")).alias("_at"))
-    values = celled.join(cell, [*keys, "_cell"]).groupBy(*keys, "_at", value).agg(F.count(F.lit(1)).alias("_n"))
+    cell = hist.where((F.col("_below") <= at) & (F.col("_below") + F.col("_in") > at)).select(*keys, "_cell", "_fine", (at - F.col("_below")).alias("_at"))
+    values = celled.join(cell, [*keys, "_cell", "_fine"]).groupBy(*keys, "_at", value).agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     return values.withColumn("_upto", upto).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at"))).select(*keys, value)
 
@@ -87,9 +100,9 @@ def value_at(df: DataFrame, keys: Sequence[str], value: str, fraction: float) ->
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """The rows with the rank of their finite value in their group, from 1, ties sharing the mean of their ranks.
 
-    A rank is the number of rows in lower cells, and the rank within the cell; equal values are counted once."""
+    A rank is the number of rows in lower cells, and the rank within the finer cell; equal values are counted once."""
     celled, hist = _cells(df, keys, value)
-    values = celled.groupBy(*keys, "_cell", value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = values.withColumn("_upto", upto).join(hist.select(*keys, "_cell", "_below"), [*keys, "_cell"])
+    values = celled.groupBy(*keys, "_cell", "_fine", value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_cell", "_fine").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = values.withColumn("_upto", upto).join(hist.select(*keys, "_cell", "_fine", "_below"), [*keys, "_cell", "_fine"])
     return df.join(ranks.select(*keys, value, (F.col("_below") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out)), [*keys, value])

@@ -27,12 +27,12 @@ def token_count(spark, sf_dir):
 
 
 def next_token_pairs(spark, sf_dir):
-    """The commonest 50 pairs of an id and the id after it, over all sequences drawn."""
+    """Every pair of an id and the id after it with its count, over all sequences drawn."""
     s = table(spark, sf_dir, "sampled_sequences").select("sample_id", "token_ids").where(F.size("token_ids") >= 2)
     n = F.size("token_ids")
     pairs = F.arrays_zip(F.slice("token_ids", 1, n - 1).alias("input"), F.slice("token_ids", 2, n - 1).alias("target"))
     rows = s.select(F.explode(pairs).alias("p")).groupBy("p.input", "p.target").agg(F.count(F.lit(1)).alias("pairs"))
-    return rows.orderBy(F.col("pairs").desc(), "input", "target").limit(50)
+    return rows
 
 
 def sanitize_id(spark, sf_dir):
@@ -135,9 +135,9 @@ ORACLE = {
     "text_normalize": f"SELECT doc_id, length({_COLLAPSED}) AS length, sha256({_COLLAPSED}) AS digest FROM documents",
     "text_preview": "WITH p AS (SELECT doc_id, text[1:40] AS a, substr(text, CAST(greatest(0, length(text) // 2 - 20) AS BIGINT) + 1, 40) AS b, right(text, 40) AS c FROM documents) SELECT doc_id, " + ", ".join(f"{_CLIP.format('trim(' + _WS.format(k) + ')')} AS {n}" for k, n in (("a", "preview_start"), ("b", "preview_middle"), ("c", "preview_end"))) + " FROM p",
     "token_count": "SELECT DISTINCT sample_id, coalesce(len(token_ids), 0) AS tokens, coalesce(len(list_filter(token_ids, lambda x: x = 0)), 0) AS ends FROM sampled_sequences",
-    "next_token_pairs": "WITH p AS (SELECT unnest(token_ids[1:len(token_ids) - 1]) AS input, unnest(token_ids[2:]) AS target FROM sampled_sequences WHERE len(token_ids) >= 2) SELECT input, target, count(*) AS pairs FROM p GROUP BY 1, 2 ORDER BY pairs DESC, input, target LIMIT 50",
+    "next_token_pairs": "WITH p AS (SELECT unnest(token_ids[1:len(token_ids) - 1]) AS input, unnest(token_ids[2:]) AS target FROM sampled_sequences WHERE len(token_ids) >= 2) SELECT input, target, count(*) AS pairs FROM p GROUP BY 1, 2",
     "sanitize_id": "SELECT DISTINCT raw_id, regexp_replace(raw_id, '[^a-zA-Z0-9_.-]+', '_', 'g') AS clean_id FROM (SELECT concat_ws('/', source, run_id, CAST(doc_id AS VARCHAR)) AS raw_id FROM documents)",
-    "clean_response": rf"""WITH h AS (SELECT raw_row_id, regexp_replace({_STRIPPED.format(_BEFORE_LIST)}, ':$', '.') AS t FROM fixed_responses),
+    "clean_response": rf"""WITH h AS (SELECT raw_row_id, regexp_replace({_STRIPPED.format(_BEFORE_LIST)}, '[\s\x0b\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x1c-\x1f]*:$', '.') AS t FROM fixed_responses),
 s AS (SELECT raw_row_id, CASE WHEN regexp_extract(t, '(?s)^(.*[.?!]).*$', 1) <> '' THEN regexp_extract(t, '(?s)^(.*[.?!]).*$', 1) ELSE t END AS c FROM h)
 SELECT raw_row_id, length(c) AS length, sha256(c) AS digest FROM s""",
     "prompt_assembly": f"""WITH p AS (SELECT raw_row_id, concat_ws(chr(10) || chr(10), 'Answer as asked.', prompt_text) AS prefix, {_RESP} AS response FROM fixed_responses),

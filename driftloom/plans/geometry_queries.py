@@ -145,12 +145,15 @@ def token_diagnostics(spark, sf_dir):
 
 
 def streamed_dot(spark, sf_dir):
-    """-dot(g, q) and the cosine of a sequence's summed gradient with a query, added up over parameter blocks of 16 elements, in long form."""
+    """-dot(g, q) and the cosine of a sequence's summed gradient with a query, added up over parameter blocks of 16 elements."""
     rows = _vectors(spark, sf_dir)
-    query = rows.where(F.col("vec_id") == 0).select(F.posexplode("v").alias("i", "q"))
-    parts = rows.select("seq", F.posexplode("v").alias("i", "x")).groupBy("seq", "i").agg(F.sum("x").alias("g"))
-    met = parts.join(F.broadcast(query), "i").groupBy("seq", F.floor(F.col("i") / 16).alias("block")).agg(F.sum(-F.col("g") * F.col("q")).alias("d"), F.sum(F.col("g") * F.col("g")).alias("gg"), F.sum(F.col("q") * F.col("q")).alias("qq"))  # one vector
-    whole = met.groupBy("seq").agg(F.sum("d").alias("d"), F.sqrt(F.sum("gg")).alias("g"), F.sqrt(F.sum("qq")).alias("q"))
+    query = rows.where(F.col("vec_id") == 0).select(F.col("v").alias("q")).limit(1)
+    sums = G.sum_vectors(rows, ["seq"], "v", "g")
+    blocks = lambda v: F.transform(F.sequence(F.lit(1), F.size(v), F.lit(16)), lambda i: F.slice(v, i, F.lit(16)))
+    added = lambda parts: F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+    g, q = blocks(F.col("g")), blocks(F.col("q"))
+    dots = lambda a, b: added(F.zip_with(a, b, V.dot))
+    whole = sums.crossJoin(F.broadcast(query)).select("seq", (-dots(g, q)).alias("d"), F.sqrt(dots(g, g)).alias("g"), F.sqrt(dots(q, q)).alias("q"))  # one vector
     return whole.select("seq", F.round("d", 6).alias("negative_dot"), F.round("g", 6).alias("gradient_norm"), F.round(F.when(F.col("g") * F.col("q") > 0, F.col("d") / (F.col("g") * F.col("q"))), 6).alias("cosine"))
 
 
@@ -221,8 +224,8 @@ def transition_scores(spark, sf_dir):
 
 
 def moving_groups(spark, sf_dir):
-    """Labels whose loading moved most between the first and the final revision."""
-    loads = _loadings_by_step(_vectors(spark, sf_dir))
+    """Roles' labels (all but the defaults) whose loading moved most between the first and the final revision."""
+    loads = _loadings_by_step(_vectors(spark, sf_dir)).where(~_default())
     first = loads.where(F.col("step") == 0).select("label", F.col("loading").alias("first_loading"))
     last = loads.where(F.col("step") == FINAL).select("label", F.col("loading").alias("final_loading"))
     rows = first.join(last, "label").withColumn("delta", F.round(F.col("final_loading") - F.col("first_loading"), 6))
@@ -328,7 +331,7 @@ round(sqrt(greatest(list_inner_product(v, v) - 0.75::DOUBLE * raw * raw, 0)), 6)
     "transition_scores": _STEPS + """SELECT t.step - 1 AS from_step, t.step AS to_step, round(coalesce(1 - t.adjacent_cosine, 0) + coalesce(1 - t.adjacent_corr, 0) + coalesce(abs(t.final_cosine - b.final_cosine), 0), 6) AS score,
 round(t.final_cosine - b.final_cosine, 6) AS delta FROM traj t JOIN traj b ON b.step = t.step - 1""",
     "moving_groups": _STEPS + """SELECT label, round(f.loading, 6) AS first_loading, round(l.loading, 6) AS final_loading, round(l.loading - f.loading, 6) AS delta
-FROM (SELECT * FROM loads WHERE step = 0) f JOIN (SELECT * FROM loads WHERE step = 3) l USING (label) ORDER BY abs(round(l.loading - f.loading, 6)) DESC, label LIMIT 5""",
+FROM (SELECT * FROM loads WHERE step = 0) f JOIN (SELECT * FROM loads WHERE step = 3) l USING (label) WHERE label NOT IN (0, 1) ORDER BY abs(round(l.loading - f.loading, 6)) DESC, label LIMIT 5""",
     "trajectory_plot_data": _STEPS + "SELECT step, round(log2(step + 1), 6) AS x, round(final_cosine, 6) AS y FROM traj",
     "scope_rollup": _E + "SELECT CASE WHEN grouping(label) = 1 THEN 'global' ELSE 'label' END AS scope, CAST(label AS VARCHAR) AS scope_id, count(*) AS records, round(avg(raw), 6) AS mean_dot FROM scored GROUP BY ROLLUP (label)",
 }

@@ -79,7 +79,7 @@ def token_decode(spark, sf_dir):
 
 
 def _drawn(spark, sf_dir):
-    return table(spark, sf_dir, "sampled_sequences").select("sample_id", "token_ids").distinct()
+    return table(spark, sf_dir, "sampled_sequences").select("sample_id", "token_ids").dropDuplicates(["sample_id"])
 
 
 def model_forward(spark, sf_dir):

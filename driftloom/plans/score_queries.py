@@ -37,11 +37,19 @@ def scalar_stats(spark, sf_dir):
     return rest.join(medians, "layer").select("layer", "count", *_r(least=F.col("least"), mean=F.col("mean"), upper_median=F.col("_median"), greatest=F.col("greatest"), deviation=F.col("deviation")))
 
 
+def _responses(spark, sf_dir, *columns):
+    """The wanted columns of each response once: repeated rows are equal, so the key and these columns tell them apart."""
+    return table(spark, sf_dir, "fixed_responses_validated").select("response_id", *columns).distinct()
+
+
 def describe_median(spark, sf_dir):
-    """Count, least, true median, mean and greatest response length per source."""
-    v = table(spark, sf_dir, "fixed_responses_validated").distinct()
-    x = F.col("response_char_count")
-    return v.groupBy(F.col("response_source.model").alias("model")).agg(F.count(x).alias("count"), F.min(x).alias("least"), F.round(S.true_median(x), 6).alias("median"), F.round(F.avg(x), 6).alias("mean"), F.max(x).alias("greatest"))
+    """Count, least, true median, mean and greatest response length per source; medians from counts of equal lengths."""
+    v = _responses(spark, sf_dir, F.col("response_source.model").alias("model"), F.col("response_char_count").alias("x"))
+    by = Window.partitionBy("model").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    lengths = v.groupBy("model", "x").agg(F.count("x").alias("n")).withColumn("upto", F.sum("n").over(by)).withColumn("all", F.sum("n").over(Window.partitionBy("model")))
+    middle = F.when((F.col("upto") * 2 >= F.col("all")) & ((F.col("upto") - F.col("n")) * 2 <= F.col("all")) & (F.col("n") > 0), F.col("x"))
+    x, n = F.col("x"), F.sum("n")
+    return lengths.groupBy("model").agg(n.alias("count"), F.min(x).alias("least"), F.round((F.min(middle) + F.max(middle)) / 2, 6).alias("median"), F.round(F.sum(x * F.col("n")) / F.nullif(n, F.lit(0)), 6).alias("mean"), F.max(x).alias("greatest"))
 
 
 def axis_summary(spark, sf_dir):
@@ -150,8 +158,8 @@ def single_context(spark, sf_dir):
 
 def audit_breakdowns(spark, sf_dir):
     """Counts by each of five fields in one pass; null is the value 'None'."""
-    v = table(spark, sf_dir, "fixed_responses_validated").distinct()
     fields = ["record_type", "role_group", "default_prompt_id", "question_category"]
+    v = _responses(spark, sf_dir, *fields)
     rows = v.select(*(F.coalesce(F.col(f), F.lit("None")).alias(f) for f in fields))
     out = rows.groupingSets([[F.col(f)] for f in fields], *(F.col(f) for f in fields)).agg(F.count(F.lit(1)).alias("rows"), *(F.grouping(f).alias(f"_{f}") for f in fields))
     field = F.coalesce(*(F.when(F.col(f"_{f}") == 0, f) for f in fields))

@@ -10,7 +10,8 @@ from driftloom.session import table
 from driftloom.sources import tables
 
 SCAN = (20_000, 60_000)
-LONGEST = 100
+#: Ids that a method reads of a sequence.
+LONGEST = 2048
 
 
 def shard_scan(spark, sf_dir):
@@ -32,7 +33,7 @@ def filter_truncation(spark, sf_dir):
 def document_spans(spark, sf_dir):
     """Documents within sequences: the spans between end-of-document ids, with start and length; empty spans are none."""
     ids = F.col("token_ids")
-    rows = table(spark, sf_dir, "sampled_sequences").where(F.size(ids) >= 1).select("sample_id", "token_ids").distinct()
+    rows = table(spark, sf_dir, "sampled_sequences").where(F.size(ids) >= 1).select("sample_id", "token_ids", F.xxhash64("token_ids").alias("_h")).dropDuplicates(["sample_id", "_h"])
     ends = F.filter(F.transform(ids, lambda x, i: F.when(x == 0, i + 1)), lambda x: x.isNotNull())
     bounds = F.concat(F.array(F.lit(0)), ends, F.array(F.size(ids) + 1))
     spans = F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), lambda k: F.struct(F.element_at(bounds, k).alias("start"), (F.element_at(bounds, k + 1) - F.element_at(bounds, k) - 1).alias("length")))
@@ -40,11 +41,13 @@ def document_spans(spark, sf_dir):
 
 
 def axis_pivot(spark, sf_dir):
-    """Mean score of each layer, one column per axis of a fixed list."""
-    names = ("emergent_residual",)
-    g = table(spark, sf_dir, "gradient_scores").groupBy("score_id").agg(F.any_value(F.struct("layer", F.map_entries("axis_scores").alias("e"))).alias("x"))
-    long = g.select("x.layer", F.explode("x.e").alias("e")).select("layer", F.regexp_replace("e.key", "_l[0-9]+$", "").alias("axis"), F.col("e.value").alias("v")).where(V.is_finite(F.col("v")))
-    return long.groupBy("layer").pivot("axis", ["aa_local", "aa_final", *names]).agg(F.count("v"))
+    """Scores of every row, one column per axis: the sorted union of all axes that occur, layers aside. A row has each axis once at most."""
+    g = table(spark, sf_dir, "gradient_scores").groupBy("score_id").agg(F.any_value(F.struct("layer", "axis_scores")).alias("x")).select("score_id", "x.*")
+    bare = F.transform_keys("axis_scores", lambda k, v: F.regexp_replace(k, "_l[0-9]+$", ""))
+    axes = table(spark, sf_dir, "gradient_scores").select(F.explode(F.map_keys("axis_scores")).alias("k")).select(F.regexp_replace("k", "_l[0-9]+$", "").alias("k")).distinct()
+    names = sorted(r.k for r in axes.collect())  # one row per axis of the configuration
+    held = g.select("score_id", "layer", bare.alias("m"))
+    return held.select("score_id", "layer", *(F.try_element_at("m", F.lit(n)).alias(f"{n}__score") for n in names))
 
 
 def legacy_axis_scores(spark, sf_dir):
@@ -82,14 +85,14 @@ QUERIES = {f.__name__: f for f in (shard_scan, filter_truncation, document_spans
 
 ORACLE = {
     "shard_scan": "SELECT DISTINCT uid, batch_idx, coalesce(len(token_ids), 0) AS tokens FROM sampled_sequences WHERE batch_idx >= 20000 AND batch_idx < 60000",
-    "filter_truncation": """WITH k AS (SELECT DISTINCT sample_id, token_ids[1:len(token_ids) - 1][1:100] AS f, token_ids[1:101] AS t FROM sampled_sequences WHERE len(token_ids) >= 2)
+    "filter_truncation": """WITH k AS (SELECT DISTINCT sample_id, token_ids[1:len(token_ids) - 1][1:2048] AS f, token_ids[1:2049] AS t FROM sampled_sequences WHERE len(token_ids) >= 2)
 SELECT DISTINCT sample_id, len(f) AS filter_ids, len(t) - 1 AS inputs, t[len(t) - 1] AS last_input, t[len(t)] AS last_target FROM k""",
     "document_spans": """WITH s AS (SELECT DISTINCT sample_id, token_ids FROM sampled_sequences WHERE len(token_ids) >= 1),
 b AS (SELECT sample_id, list_concat([0], list_filter(range(1, len(token_ids) + 1), lambda i: token_ids[i] = 0), [len(token_ids) + 1]) AS b FROM s),
 p AS (SELECT sample_id, unnest(b[1:len(b) - 1]) AS start, unnest(b[2:]) AS stop FROM b) SELECT sample_id, start, stop - start - 1 AS length FROM p WHERE stop - start - 1 > 0""",
     "axis_pivot": """WITH one AS (SELECT score_id, any_value(layer) AS layer, any_value(axis_scores) AS m FROM gradient_scores GROUP BY 1),
-l AS (SELECT layer, regexp_replace(unnest(map_keys(m)), '_l[0-9]+$', '') AS axis, unnest(map_values(m)) AS v FROM one)
-SELECT layer, nullif(count(v) FILTER (axis = 'aa_local'), 0) AS aa_local, nullif(count(v) FILTER (axis = 'aa_final'), 0) AS aa_final, nullif(count(v) FILTER (axis = 'emergent_residual'), 0) AS emergent_residual FROM l WHERE isfinite(v) GROUP BY 1""",
+l AS (SELECT score_id, layer, regexp_replace(k.u, '_l[0-9]+$', '') AS axis, m[k.u] AS v FROM one LEFT JOIN unnest(map_keys(m)) AS k(u) ON true)
+SELECT score_id, layer, any_value(v) FILTER (axis = 'aa_final') AS aa_final__score, any_value(v) FILTER (axis = 'aa_local') AS aa_local__score, any_value(v) FILTER (axis = 'emergent_residual') AS emergent_residual__score FROM l GROUP BY 1, 2""",
     "legacy_axis_scores": """WITH g AS (SELECT CASE WHEN axis_scores IS NOT NULL AND cardinality(axis_scores) > 0 THEN map_keys(axis_scores) ELSE list_filter([CASE WHEN local_aa_score IS NOT NULL THEN 'local_aa' END, CASE WHEN final_aa_score IS NOT NULL THEN 'final_aa' END], lambda x: x IS NOT NULL) END AS k FROM gradient_scores)
 SELECT axis_name, count(*) AS rows FROM (SELECT unnest(k) AS axis_name FROM g) GROUP BY 1""",
     "first_variants": """SELECT role_id, min(role_instruction_variant_id) AS variant, arg_min(role_instruction, (role_instruction_variant_id, role_instruction)) AS instruction, count(DISTINCT role_instruction_variant_id) AS variants FROM rollouts WHERE record_type = 'role' GROUP BY 1""",

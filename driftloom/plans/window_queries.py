@@ -136,7 +136,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _STEP = "TRY_CAST(nullif(regexp_extract({0}, '^step([0-9]+)$', 1), '') AS BIGINT)"
-_UIDS = "WITH u AS (SELECT DISTINCT window_id, uid FROM sampled_sequences WHERE window_id IS NOT NULL), p AS (SELECT window_id, least(sample_policy.sample_size, 5) AS size, sample_policy.seed AS seed FROM window_plan)"
+_UIDS = "WITH u AS (SELECT DISTINCT window_id, uid FROM sampled_sequences WHERE window_id IS NOT NULL), p AS (SELECT window_id, coalesce(sample_policy.sample_size, 1000) AS size, sample_policy.seed AS seed FROM window_plan)"
 _NESTED = """WITH m AS (SELECT doc_id FROM documents ORDER BY sha256('1729:master:' || doc_id), doc_id LIMIT 100),
 a AS (SELECT doc_id FROM m ORDER BY sha256('1729:activation_gradient:' || doc_id), doc_id LIMIT 40),
 f AS (SELECT doc_id FROM a ORDER BY sha256('1729:fopci_random:' || doc_id), doc_id LIMIT 10)
