@@ -9,7 +9,8 @@ reference costs one row per task); only reference values that can be at fault go
 the planner decides by measured size.
 
 Defined cases: a null reference is never an orphan; keys and references are compared as exact strings; a null child time
-is never late nor after deletion; repeated child rows count once per key (the first fault in the order missing, late, deleted);
+is never late nor after deletion; repeated child rows count once per key (the first fault in the order missing, late, deleted), rows without
+a key once per time and fault;
 an empty parent table makes every non-null reference missing; a parent time that is null never makes a reference late.
 """
 
@@ -64,19 +65,21 @@ def direct_orphans(child: DataFrame, parent: DataFrame, edge: Edge) -> DataFrame
     """(row_key, ref, at, reason), one row per child key."""
     rows = child.select(_text(edge.child_key).alias("row_key"), _text(edge.ref).alias("ref"), _time(edge.child_time).alias("at")).where(F.col("ref").isNotNull())
     refs = rows.groupBy("ref").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n"))
-    suspect = (
-        refs.join(parents_by_key(parent, edge).withColumn("present", F.lit(True)), "ref", "left")
-        .where(F.col("present").isNull() | (F.col("created") > F.col("first_at")) | (F.col("deleted") <= F.col("last_at")))
-        .select("ref", "present", "created", "deleted", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / HOT).cast("int"))).alias("salt"), F.floor(F.col("n") / HOT).cast("int").alias("last_salt"))
-    )
-    hot = cut(suspect.where("last_salt > 0").select("ref", "last_salt").distinct())  # a reference in HOT rows or more: at most one per HOT rows of the child
-    salts = rows.join(hot, "ref", "left").withColumn("salt", F.when(F.col("last_salt").isNull(), 0).otherwise(F.pmod(F.xxhash64("row_key"), F.col("last_salt") + 1).cast("int"))).drop("last_salt") if not hot.isEmpty() else rows.withColumn("salt", F.lit(0))
+    at_fault = F.col("present").isNull() | (F.col("created") > F.col("first_at")) | (F.col("deleted") <= F.col("last_at"))
+    last_salt = F.floor(F.col("n") / HOT).cast("int").alias("last_salt")
+    suspect = cut(refs.join(parents_by_key(parent, edge).withColumn("present", F.lit(True)), "ref", "left").where(at_fault).select("ref", "present", "created", "deleted", last_salt))
+    hot = suspect.where("last_salt > 0").select("ref", "last_salt")  # at most one per HOT rows of the child
+    salted = rows.withColumn("salt", F.lit(0))
+    if not hot.isEmpty():
+        salt = F.coalesce(F.pmod(F.xxhash64("row_key", "at"), F.col("last_salt") + 1).cast("int"), F.lit(0))
+        salted = rows.join(hot, "ref", "left").withColumn("salt", salt).drop("last_salt")
+    suspect = suspect.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("last_salt")))).drop("last_salt")
     reason = F.when(F.col("present").isNull(), 0).when(F.col("created") > F.col("at"), 1).when(F.col("deleted") <= F.col("at"), 2)
     return (
-        salts.join(suspect.drop("last_salt"), ["ref", "salt"])
+        salted.join(suspect, ["ref", "salt"])
         .withColumn("rank", reason)
         .where(F.col("rank").isNotNull())
-        .groupBy("row_key")
+        .groupBy("row_key", F.when(F.col("row_key").isNull(), F.struct("ref", "at")).alias("_unnamed"))
         .agg(F.min(F.struct("rank", "at", "ref")).alias("first"))
         .select("row_key", F.col("first.ref").alias("ref"), F.col("first.at").alias("at"), F.element_at(F.array(*map(F.lit, REASONS)), F.col("first.rank") + 1).alias("reason"))
     )
@@ -96,7 +99,7 @@ def cascade(tables: Mapping[str, DataFrame], edges: Sequence[Edge], max_rounds:
     if found is None:
         raise ValueError("at least one edge is needed")
     order = F.struct(F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason")), "at", "reason")
-    known = cut(found.groupBy("table_name", "row_key").agg(F.min_by(F.struct("at", "reason", "kind", "depth"), order).alias("x")).select("table_name", "row_key", "x.*"))
+    known = cut(found.groupBy("table_name", "row_key", F.when(F.col("row_key").isNull(), F.struct("at", "reason")).alias("_unnamed")).agg(F.min_by(F.struct("at", "reason", "kind", "depth"), order).alias("x")).select("table_name", "row_key", "x.*"))
     parents = {e.parent for e in edges}
     fresh = known
     for depth in range(1, max_rounds + 1):

@@ -99,7 +99,7 @@ def scan_jsonl_strict(spark, sf_dir):
     path = own_folder(spark, "scan_jsonl_strict")
     jsonl.write(table(spark, sf_dir, "window_plan").select("window_id", "batch_idx_start", "batch_idx_end_exclusive"), path)
     schema = X.StructType([X.StructField("window_id", X.StringType()), X.StructField("batch_idx_start", X.LongType()), X.StructField("batch_idx_end_exclusive", X.LongType())])
-    return jsonl.read_strict(spark, path, schema)
+    return jsonl.read_checked(spark, path, schema)
 
 
 def csv_typed(spark, sf_dir):

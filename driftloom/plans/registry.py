@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftloom.plans import corpus_queries, geometry_queries, governance_queries, integrity, score_queries, sequence_queries, window_queries
+from driftloom.plans import artifact_queries, corpus_queries, geometry_queries, governance_queries, integrity, score_queries, sequence_queries, window_queries
 
-MODULES = (window_queries, corpus_queries, geometry_queries, score_queries, sequence_queries, governance_queries, integrity)
+MODULES = (window_queries, corpus_queries, geometry_queries, score_queries, sequence_queries, governance_queries, artifact_queries, integrity)
 
 
 def queries() -> dict:
