@@ -15,7 +15,6 @@ from driftloom.session import own_folder, table
 from driftloom.sources import tables
 
 REPLICATES, LEVELS, SEED = 100, (0.05, 0.95), 1729
-REVISIONS = ("step640", "step512", "step256", "step1000", "step20")
 #: The fields that an inspection keeps of a record, as far as the record has them.
 COMPACT = ("rollout_id", "record_type", "role_id", "role_group", "question_id", "question_category", "not_there")
 
@@ -24,7 +23,7 @@ def planned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawn sequences written as shard files, then read again through the plans: rows per window and file. Planned files that no row is in are skipped."""
     root = own_folder(spark, "shards")
     rows = table(spark, sf_dir, "sampled_sequences").where("source_file IS NOT NULL").select("sample_id", "uid", "batch_idx", "source_file")
-    rows.write.partitionBy("source_file").parquet(root)
+    rows.repartition("source_file").write.partitionBy("source_file").parquet(root)
     plans = table(spark, sf_dir, "window_plan").select(F.col("window_id").alias("plan_id"), F.col("parquet_files").alias("files"), F.col("batch_idx_start").alias("start"), F.col("batch_idx_end_exclusive").alias("end"))
     read = tables.read_planned(spark, plans, root, ["sample_id", "uid", "batch_idx"], missing="skip")
     return read.groupBy("plan_id", "source_file").agg(F.count(F.lit(1)).alias("rows"), F.min("batch_idx").alias("first_batch"), F.max("batch_idx").alias("last_batch"))
@@ -44,13 +43,13 @@ def target_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("axis_name", "kind", "dimension", F.round("raw_norm", 6).alias("raw_norm"), F.when(F.abs(cosine) < 1e-6, F.lit(0.0)).otherwise(cosine).alias("first_cosine"))
 
 
-def multi_axis_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sequence with every target of the bundle: mean, greatest, top mean and positive share of its tokens' projections."""
+def multi_axis_filter(spark: SparkSession, sf_dir: str, axes=("aa_step0", "aa_step1", "aa_step2", "aa_step3", "innovation"), top_k: int = 4) -> DataFrame:
+    """Every sequence with every wanted target of the bundle: mean, greatest, top mean and positive share of its tokens' projections."""
     rows = Q._vectors(spark, sf_dir)
-    axes = targets.load(_bundle(rows), [f"aa_step{k}" for k in range(4)] + ["innovation"])
+    axes = targets.load(_bundle(rows), axes)
     x = F.col("raw")
     scored = targets.projected(rows.select("seq", "v"), "v", axes).groupBy("seq", "axis_name")
-    return scored.agg(F.count(x).alias("tokens"), F.round(F.avg(x), 6).alias("mean"), F.round(F.max(x), 6).alias("max"), F.round(S.top_mean(x, 4), 6).alias("top_mean"), F.round(S.positive_share(x), 6).alias("positive_share"))
+    return scored.agg(F.count(x).alias("tokens"), F.round(F.avg(x), 6).alias("mean"), F.round(F.max(x), 6).alias("max"), F.round(S.top_mean(x, top_k), 6).alias("top_mean"), F.round(S.positive_share(x), 6).alias("positive_share"))
 
 
 def checkpoint_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,17 +78,17 @@ def select_revisions(df: DataFrame, column: str, wanted) -> DataFrame:
     return rows
 
 
-def checkpoint_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score rows of the five commonest revisions, counted: the selection is made by name."""
+def checkpoint_select(spark: SparkSession, sf_dir: str, revisions=()) -> DataFrame:
+    """Score rows of the named revisions, counted; if none are named, of the five commonest."""
     g = table(spark, sf_dir, "gradient_scores").where("checkpoint_revision IS NOT NULL")
     names = g.groupBy("checkpoint_revision").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("rows").desc(), "checkpoint_revision").limit(5)
-    wanted = [r.checkpoint_revision for r in names.collect()]  # five rows
+    wanted = revisions or [r.checkpoint_revision for r in names.collect()]  # five rows
     return select_revisions(g, "checkpoint_revision", wanted).groupBy("checkpoint_revision", "layer").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def split_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of the primary and secondary splits only, primary first, each split in the order of its steps."""
-    w = table(spark, sf_dir, "window_plan").where(F.col("split").isin("primary", "secondary"))
+def split_filter(spark: SparkSession, sf_dir: str, splits=("primary", "secondary")) -> DataFrame:
+    """Windows of the wanted splits only, by default primary and secondary, primary first, each split in the order of its steps."""
+    w = table(spark, sf_dir, "window_plan").where(F.col("split").isin(*splits))
     by = Window.partitionBy("split").orderBy("batch_idx_start", "batch_idx_end_exclusive", "window_id")
     return w.select("split", "window_id", F.when(F.col("split") == "primary", 1).otherwise(2).alias("split_order"), F.row_number().over(by).alias("place"))
 
@@ -106,16 +105,16 @@ def compact_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(*(c for c in COMPACT if c in r.columns))
 
 
-def decoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decoded_text(spark: SparkSession, sf_dir: str, vocabulary: str = codec.RANKS) -> DataFrame:
     """Every drawn sequence through the public vocabulary: characters, documents and a digest."""
     rows = table(spark, sf_dir, "sampled_sequences").where("token_ids IS NOT NULL AND sample_id IS NOT NULL").dropDuplicates(["sample_id"])
-    text = rows.select("sample_id", codec.decoded("token_ids").alias("t"))
+    text = rows.select("sample_id", codec.decoded("token_ids", vocabulary).alias("t"))
     return text.select("sample_id", F.length("t").alias("chars"), (F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))).alias("line_ends"), F.sha2("t", 256).alias("digest"))
 
 
-def artifact_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def artifact_gate(spark: SparkSession, sf_dir: str, prefix: str = "runs/tables") -> DataFrame:
     """One row over all files of the tables: how many, their size, skipped and unready ones, and whether all may go."""
-    held = tables.artifact_records(tables.inventory(spark, sf_dir), "runs/tables")
+    held = tables.artifact_records(tables.inventory(spark, sf_dir), prefix)
     kept = ~F.col("skipped")
     one = held.agg(F.count_if(kept).alias("files"), F.coalesce(F.sum(F.when(kept, F.col("size_bytes"))), F.lit(0)).alias("total_bytes"), F.count_if(F.col("skipped")).alias("skipped"), F.count_if(kept & ~F.col("ready")).alias("unready"))
     return one.withColumn("passed", (F.col("files") > 0) & (F.col("unready") == 0))

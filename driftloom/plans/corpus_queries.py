@@ -15,9 +15,9 @@ def text_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(c).alias("length"), F.sha2(c, 256).alias("digest"))
 
 
-def text_preview(spark, sf_dir):
-    """Start, middle and end of every document, 40 characters each."""
-    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in T.previews(F.col("text"), 40).items()))
+def text_preview(spark, sf_dir, chars=40):
+    """Start, middle and end of every document, 40 characters each unless told."""
+    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in T.previews(F.col("text"), chars).items()))
 
 
 def token_count(spark, sf_dir):
@@ -40,9 +40,9 @@ def sanitize_id(spark, sf_dir):
     return ids.select("raw_id", T.sanitized(F.col("raw_id")).alias("clean_id")).distinct()
 
 
-def clean_response(spark, sf_dir):
+def clean_response(spark, sf_dir, strip_lists=True, trim_to_sentence=True):
     f = table(spark, sf_dir, "fixed_responses")
-    c = T.cleaned_response(F.col("generated_response"))
+    c = T.cleaned_response(F.col("generated_response"), strip_lists, trim_to_sentence)
     return f.select("raw_row_id", F.length(c).alias("length"), F.sha2(c, 256).alias("digest"))
 
 
@@ -86,9 +86,9 @@ def import_validate(spark, sf_dir):
     return C.import_violations(table(spark, sf_dir, "fixed_responses"), table(spark, sf_dir, "rollouts"))
 
 
-def inspect_slice(spark, sf_dir):
+def inspect_slice(spark, sf_dir, question_id=3, role_group="assistant_like"):
     """The rollouts of one question in one group."""
-    r = table(spark, sf_dir, "rollouts").where((F.col("question_id") == 3) & (F.col("role_group") == "assistant_like"))
+    r = table(spark, sf_dir, "rollouts").where((F.col("question_id") == question_id) & (F.col("role_group") == role_group))
     return r.select("rollout_id", "role_id", "question_category", F.length("prompt_text").alias("prompt_length"))
 
 

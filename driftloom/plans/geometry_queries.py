@@ -244,10 +244,10 @@ def role_pc1(spark, sf_dir):
     return pc.select("component", "n", F.round("evr", 6).alias("evr"), F.round("axis_cosine", 6).alias("axis_cosine"))
 
 
-def pca_components(spark, sf_dir):
-    """Three components of each label's vectors."""
+def pca_components(spark, sf_dir, components=3, centred=True):
+    """Components of each label's vectors, three unless told."""
     rows = _vectors(spark, sf_dir)
-    pc = G.principal_components(rows, ["label"], "v", 3, _axis(rows).select("axis"))
+    pc = G.principal_components(rows, ["label"], "v", components, _axis(rows).select("axis"), centred)
     return pc.select("label", "component", "n", "reason", F.round("evr", 6).alias("evr"), F.round("cumulative", 6).alias("cumulative"), F.round("axis_cosine", 6).alias("axis_cosine"))
 
 
@@ -257,13 +257,13 @@ def scope_rollup(spark, sf_dir):
     return rows.select(F.when(F.col("_all") == 1, "global").otherwise("label").alias("scope"), F.col("label").cast("string").alias("scope_id"), "records", "mean_dot")
 
 
-def geometry_gate(spark, sf_dir):
+def geometry_gate(spark, sf_dir, cosine=(0.30, 0.15), evr=(0.20, 0.10)):
     """Bands of the axis-PC1 cosine and PC1 share, and the gate that follows; complete if all ten labels have vectors."""
     rows = _vectors(spark, sf_dir)
     pc = role_pc1(spark, sf_dir).select("axis_cosine", "evr")
     complete = rows.agg((F.count_distinct("label") == 10).alias("complete"))  # one row each
     m = pc.crossJoin(complete)
-    m = m.withColumn("cosine_band", S.band(F.col("axis_cosine"), 0.30, 0.15)).withColumn("evr_band", S.band(F.col("evr"), 0.20, 0.10))
+    m = m.withColumn("cosine_band", S.band(F.col("axis_cosine"), *cosine)).withColumn("evr_band", S.band(F.col("evr"), *evr))
     bands = F.array("cosine_band", "evr_band")
     gate = F.when(~F.col("complete") | F.array_contains(bands, "fail"), "stop").when(F.array_contains(bands, "caution"), "caution").when((F.col("cosine_band") == "pass") & (F.col("evr_band") == "pass"), "proceed").otherwise("caution")
     return m.select("cosine_band", "evr_band", "complete", gate.alias("gate"))

@@ -80,15 +80,15 @@ def _runs(spark, sf_dir):
     return rows.groupBy(*keys).agg(F.min_by("score", "score_id").alias("reference"), F.max_by("score", "score_id").alias("candidate"), F.count(F.lit(1)).alias("runs"))
 
 
-def score_agreement(spark, sf_dir):
+def score_agreement(spark, sf_dir, tolerance=TOLERANCE):
     """Agreement of both runs per axis over all keys that both have."""
     a, b = F.col("reference"), F.col("candidate")
     d = F.abs(b - a)
-    rows = _runs(spark, sf_dir).groupBy("axis_name").agg(F.count(F.lit(1)).alias("records"), S.exact_mean(d).alias("mean_d"), F.max(d).alias("max_d"), F.sqrt(F.avg(d * d)).alias("rmse"), S.pearson(a, b).alias("pearson"), F.avg(((a >= 0) == (b >= 0)).cast("double")).alias("sign"), F.every(d <= TOLERANCE).alias("passed"))
+    rows = _runs(spark, sf_dir).groupBy("axis_name").agg(F.count(F.lit(1)).alias("records"), S.exact_mean(d).alias("mean_d"), F.max(d).alias("max_d"), F.sqrt(F.avg(d * d)).alias("rmse"), S.pearson(a, b).alias("pearson"), F.avg(((a >= 0) == (b >= 0)).cast("double")).alias("sign"), F.every(d <= tolerance).alias("passed"))
     return rows.select("axis_name", "records", *_r(mean_absolute_delta=F.col("mean_d"), max_absolute_delta=F.col("max_d"), rmse=F.col("rmse"), pearson=F.col("pearson"), sign_agreement=F.col("sign")), "passed")
 
 
-def batch_invariance(spark, sf_dir):
+def batch_invariance(spark, sf_dir, tolerance=TOLERANCE):
     """Reruns against first runs: per metric, greatest and mean difference and whether it is within the tolerance."""
     g = _scores(spark, sf_dir, "sample_id", "checkpoint_revision", "layer", *SCORES).where("sample_id IS NOT NULL")
     for c in SCORES:
@@ -96,7 +96,7 @@ def batch_invariance(spark, sf_dir):
     keys = ["sample_id", "checkpoint_revision", "layer"]
     both = g.groupBy(*keys).agg(*(F.abs(F.max_by(c, "score_id") - F.min_by(c, "score_id")).alias(c) for c in SCORES))
     long = both.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("d")) for c in SCORES))).alias("x")).select("x.*")
-    return long.groupBy("metric").agg(F.count(F.lit(1)).alias("records"), *_r(max_delta=F.max("d"), mean_delta=S.exact_mean(F.col("d"))), F.every(F.col("d") <= TOLERANCE).alias("passed"))
+    return long.groupBy("metric").agg(F.count(F.lit(1)).alias("records"), *_r(max_delta=F.max("d"), mean_delta=S.exact_mean(F.col("d"))), F.every(F.col("d") <= tolerance).alias("passed"))
 
 
 def method_comparison(spark, sf_dir):

@@ -66,20 +66,21 @@ def _uids(spark, sf_dir):
     return table(spark, sf_dir, "sampled_sequences").where("window_id IS NOT NULL").select("window_id", "uid").distinct()
 
 
-def _policies(spark, sf_dir):
-    return table(spark, sf_dir, "window_plan").select("window_id", F.coalesce(F.col("sample_policy.sample_size"), F.lit(SAMPLE_SIZE)).alias("size"), F.col("sample_policy.seed").alias("seed"))
+def _policies(spark, sf_dir, sample_size=None):
+    planned = F.coalesce(F.lit(sample_size).cast("bigint"), F.col("sample_policy.sample_size"), F.lit(SAMPLE_SIZE))
+    return table(spark, sf_dir, "window_plan").select("window_id", planned.alias("size"), F.col("sample_policy.seed").alias("seed"))
 
 
-def seeded_sample(spark, sf_dir):
-    """As many sequences of each window as its plan asks for, by the plan's seed and hash rank."""
-    rows = _uids(spark, sf_dir).join(_policies(spark, sf_dir), "window_id")
+def seeded_sample(spark, sf_dir, sample_size=None):
+    """As many sequences of each window as its plan asks for, or ``sample_size``, by the plan's seed and hash rank."""
+    rows = _uids(spark, sf_dir).join(_policies(spark, sf_dir, sample_size), "window_id")
     return S.sampled_per_group(rows, "window_id", "uid", "size", "seed").select("window_id", "uid", "rank")
 
 
-def sample_summary(spark, sf_dir):
+def sample_summary(spark, sf_dir, sample_size=None):
     """Planned and existing sequences per window, and whether the sample is complete."""
     have = _uids(spark, sf_dir).groupBy("window_id").agg(F.count(F.lit(1)).alias("existing"))
-    rows = _policies(spark, sf_dir).join(have, "window_id", "left").withColumn("existing", F.coalesce("existing", F.lit(0)))
+    rows = _policies(spark, sf_dir, sample_size).join(have, "window_id", "left").withColumn("existing", F.coalesce("existing", F.lit(0)))
     missing = F.greatest(F.col("size") - F.col("existing"), F.lit(0))
     return rows.select("window_id", F.col("size").alias("planned"), "existing", missing.alias("missing"), F.when(missing == 0, "completed").otherwise("partial").alias("status"))
 
@@ -107,8 +108,8 @@ def hash_rank_subset(spark, sf_dir):
     return rows.select("doc_id", "stable_hash")
 
 
-def nested_subsets(spark, sf_dir):
-    return S.nested(table(spark, sf_dir, "documents"), "doc_id", SUBSETS, SEED)
+def nested_subsets(spark, sf_dir, seed=SEED):
+    return S.nested(table(spark, sf_dir, "documents"), "doc_id", SUBSETS, seed)
 
 
 def subset_membership(spark, sf_dir):

@@ -6,10 +6,11 @@ import json
 import time
 from collections.abc import Callable
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from driftloom.sources import files
+
 
 def now() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="seconds")
@@ -17,7 +18,7 @@ def now() -> str:
 
 def load_config(path: str) -> dict:
     """A JSON or YAML file that must be a mapping."""
-    text = Path(path).read_text()
+    text = files.read_text(path)
     if path.endswith((".yaml", ".yml")):
         import yaml
 
@@ -29,33 +30,36 @@ def load_config(path: str) -> dict:
     return found
 
 
-def status_of(folder: Path) -> str | None:
-    at = folder / "meta" / "status.json"
-    return json.loads(at.read_text())["status"] if at.exists() else None
+def status_of(folder: object) -> str | None:
+    at = f"{folder}/meta/status.json"
+    return json.loads(files.read_text(at))["status"] if files.exists(at) else None
+
 
+def _note(folder: object, name: str, value: dict) -> None:
+    files.write_text(f"{folder}/meta/{name}.json", json.dumps(value, indent=2, sort_keys=True, default=str) + "\n")
 
-def _note(folder: Path, name: str, value: dict) -> None:
-    at = folder / "meta" / f"{name}.json"
-    at.parent.mkdir(parents=True, exist_ok=True)
-    at.write_text(json.dumps(value, indent=2, sort_keys=True, default=str) + "\n")
 
+def run(folder: object, stage: str, make: Callable[[], DataFrame | dict[str, DataFrame]], settings: dict | None = None, force: bool = False) -> str:
+    """Runs a stage into ``folder/results`` unless it is completed: 'completed', 'skipped' or, if it raises, 'failed' before the error goes on.
 
-def run(folder: str | Path, stage: str, make: Callable[[], DataFrame], settings: dict | None = None, force: bool = False) -> str:
-    """Runs a stage into ``folder/results`` unless it is completed: 'completed', 'skipped' or, if it raises, 'failed' before the error goes on."""
-    folder = Path(folder)
+    ``folder`` may lie in any file system of the session. A stage that makes several tables writes each beneath its own name."""
     if status_of(folder) == "completed" and not force:
         return "skipped"
     began, started = time.time(), now()
     _note(folder, "status", {"status": "running", "stage": stage, "started_at": started})
+    done = []
     try:
-        rows = make()
-        out = str(folder / "results" / stage)
-        rows.write.mode("overwrite").parquet(out)
-        count = rows.sparkSession.read.parquet(out).count()
+        made = make()
+        for name, rows in (made if isinstance(made, dict) else {stage: made}).items():
+            out = f"{folder}/results/{name}"
+            rows.write.mode("overwrite").parquet(out)
+            done.append({"name": name, "rows": rows.sparkSession.read.parquet(out).count(), "columns": rows.dtypes, "output": out})
+            _note(folder, "progress", {"stage": stage, "completed": [d["name"] for d in done]})
     except Exception as e:
         _note(folder, "status", {"status": "failed", "stage": stage, "started_at": started, "error": str(e)[:2000]})
         raise
-    _note(folder, "manifest", {"stage": stage, "rows": count, "columns": rows.dtypes, "settings": settings or {}, "seconds": round(time.time() - began, 3), "output": out})
+    whole = {"stage": stage, "rows": sum(d["rows"] for d in done), "outputs": done, "settings": settings or {}, "seconds": round(time.time() - began, 3)}
+    _note(folder, "manifest", whole)
     _note(folder, "status", {"status": "completed", "stage": stage, "started_at": started, "ended_at": now()})
     return "completed"
 

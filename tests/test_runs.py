@@ -45,6 +45,46 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["run", "activation_audit", "--tables", SF, "--out", str(tmp_path)]) == 2
 
 
+@pytest.mark.parametrize(
+    "args,code",
+    [
+        (["window-planner", "--splits", "primary"], 0),
+        (["run-comparator", "--tolerance", "1e9"], 0),
+        (["run-comparator", "--tolerance", "1e-12"], 2),
+        (["batch-invariance", "--tolerance", "1e-12"], 2),
+        (["response-importer"], 1),
+        (["checkpoint-sweep", "--dry-run"], 1),
+        (["sequence-sampler", "--dry-run"], 0),
+        (["geometry-report", "--cosine", "2,1.5", "--report"], 0),
+        (["vector-filter", "--axes", "aa_step0,innovation", "--top-k", "2"], 0),
+    ],
+)
+def test_stages(spark, tmp_path, args, code):
+    assert cli.main([args[0], "--tables", SF, "--out", str(tmp_path), *args[1:]]) == code
+    results = tmp_path / args[0] / "results"
+    if args[0] == "window-planner":
+        assert {r.split for r in spark.read.parquet(str(results / "split_filter")).collect()} == {"primary"}
+    if args[0] == "vector-filter":
+        assert {r.axis_name for r in spark.read.parquet(str(results / "multi_axis_filter")).collect()} == {"aa_step0", "innovation"}
+    if args[0] == "geometry-report":
+        assert spark.read.parquet(str(results / "geometry_gate")).first().gate == "stop" and "geometry_gate" in (tmp_path / args[0] / "report.md").read_text()
+    if args[0] == "response-importer":
+        assert not results.exists() and json.loads((tmp_path / args[0] / "meta/manifest.json").read_text())["violations"]
+
+
+def test_stages_name_registered_queries():
+    from driftloom import stages
+
+    queries = entry.queries()
+    for stage in stages.STAGES.values():
+        assert set(stage.tables) <= set(queries) and (stage.refuse is None or stage.refuse in queries)
+        import inspect
+
+        taken = {p for t in stage.tables for p in inspect.signature(queries[t]).parameters}
+        assert set(stage.options) <= taken
+    assert len(stages.STAGES) == 25 and cli.main(["preflight"]) == 0  # the 26th stage is the preflight
+
+
 def test_every_query_has_a_stable_schema_on_the_smallest_tables(spark):
     assert entry.entry(spark).count() > 0
     queries = entry.queries()
