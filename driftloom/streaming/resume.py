@@ -20,18 +20,55 @@ def ingest_available(spark: SparkSession, folder: str, schema, transform: Callab
     query.awaitTermination()
 
 
-def upsert_available(spark: SparkSession, folder: str, schema, key: str, order: str, out: str, checkpoint: str) -> None:
-    """Keeps the last row per key in ``out``: each batch is merged with what is there and written beside it, then read back as the new state."""
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def _parts(spark: SparkSession, out: str, before: int | None = None) -> dict[int, list[int]]:
+    """The epochs, ascending, that wrote each bucket of the state."""
+    held: dict[int, list[int]] = {}
+    epochs = sorted(int(n.split("=")[1]) for n in _listed(spark, out) if n.startswith("epoch="))
+    for epoch in (e for e in epochs if before is None or e < before):
+        names = _listed(spark, f"{out}/epoch={epoch}")
+        if "_SUCCESS" in names:
+            for n in names:
+                if n.startswith("_bucket="):
+                    held.setdefault(int(n.split("=")[1]), []).append(epoch)
+    return held
+
+
+def state(spark: SparkSession, out: str, schema, buckets: Sequence[int] | None = None, before: int | None = None) -> DataFrame:
+    """The rows that ``upsert_available`` keeps: of each bucket, what the last epoch to write it has."""
+    parts = {b: epochs[-1] for b, epochs in _parts(spark, out, before).items() if buckets is None or b in buckets}
+    paths = [f"{out}/epoch={e}/_bucket={b}" for b, e in sorted(parts.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_available(spark: SparkSession, folder: str, schema, key: str, order: str, out: str, checkpoint: str, buckets: int = 64, files: int = 1000) -> None:
+    """Keeps the last row per key in ``out``, read by ``state``: the row of greatest ``order``, of equal ones that of greatest content.
+
+    The state lies in buckets by the hash of the key. A batch (up to ``files`` new files) reads and writes only the buckets of its own keys, as a new epoch; an
+    epoch that is run again reads what came before it, so it writes the same. What two later epochs have superseded is removed."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
-        path = f"{out}/epoch={epoch}"
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        touched = [r.b for r in batch.select(bucket.alias("b")).distinct().collect()]  # one row per bucket
+        if not touched:
+            return
         rest = [c for c in batch.columns if c != key]
-        old = session.read.parquet(f"{out}/epoch={epoch - 1}") if epoch else session.createDataFrame([], batch.schema)
-        both = old.select(batch.columns).unionByName(batch)
-        both.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(key, "x.*").write.mode("overwrite").parquet(path)
+        both = state(session, out, batch.schema, touched, epoch).select(batch.columns).unionByName(batch)
+        rank = F.struct(F.col(order), F.to_json(F.struct(*rest)))
+        last = both.groupBy(key).agg(F.max_by(F.struct(*rest), rank).alias("x")).select(key, "x.*")
+        last.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{out}/epoch={epoch}")
+        for b, epochs in _parts(session, out, epoch).items():
+            for old in epochs[:-1]:
+                at = session._jvm.org.apache.hadoop.fs.Path(f"{out}/epoch={old}/_bucket={b}")
+                at.getFileSystem(session._jsc.hadoopConfiguration()).delete(at, True)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 

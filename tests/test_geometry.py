@@ -86,3 +86,25 @@ def test_order_statistics_equal_brute_force(spark):
         own = [v for g, v in rows if g == r.k]
         assert r.r == sum(v < r.v for v in own) + (sum(v == r.v for v in own) + 1) / 2
     assert S.value_at(df.limit(0), ["k"], "v", 0.5).count() == 0
+
+
+def test_order_statistics_of_values_that_lie_close_together(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [("a", 0.999999 + rng.randrange(5000) * 1e-10) for _ in range(3000)] + [("b", 1e15 + i % 700) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    _, hist = S._cells(df, ["k"], "v")
+    assert hist.select("k", "_cell").distinct().count() == 2 and hist.agg({"_in": "max"}).first()[0] < 30
+    for f in (0.0, 0.5, 0.9):
+        assert {r.k: r.v for r in S.value_at(df, ["k"], "v", f).collect()} == {k: sorted(v for g, v in rows if g == k)[int(n * f)] for k, n in (("a", 3000), ("b", 1500))}
+
+
+def test_components_do_not_depend_on_when_matrices_are_handed_on(spark, monkeypatch):
+    from driftloom.operators import geometry
+
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i % 3, [float(x) for x in rng.normal(size=4)]) for i in range(60)], "k int, v array<double>")
+    whole = sorted((r.k, r.component, round(r.evr, 9)) for r in geometry.principal_components(df, ["k"], "v", 2).collect())
+    monkeypatch.setattr(geometry, "HELD", 1)
+    assert sorted((r.k, r.component, round(r.evr, 9)) for r in geometry.principal_components(df, ["k"], "v", 2).collect()) == whole

@@ -1,5 +1,6 @@
 from datetime import datetime as D
 
+from driftloom.operators import orphans
 from driftloom.operators.orphans import Edge, cascade, direct_orphans, orphan_report
 
 A = Edge("a", "a_id", "b_ref", "b", "b_id", "made", "born", "gone")
@@ -45,3 +46,16 @@ def test_report_keeps_rows_without_a_time(spark):
     f = frames(spark)
     got = {(r.month, r.reason): r.orphans for r in orphan_report(cascade(f, [A])).collect()}
     assert got == {(None, "missing"): 1, ("2025-01", "late"): 1, ("2025-03", "deleted"): 1, ("2025-01", "missing"): 1}
+
+
+def test_hot_references_are_met_in_several_tasks(spark, monkeypatch):
+    rows = [(i, "gone" if i % 3 else "late", i % 5) for i in range(300)] + [(1000 + i, "ok", 9) for i in range(50)] + [(None, "gone", 1), (None, "gone", 2)]
+    child = spark.createDataFrame(rows, "k long, r string, t int").selectExpr("k", "r", "timestamp_seconds(t) AS at")
+    parent = spark.createDataFrame([("late", 3), ("ok", 0)], "id string, t int").selectExpr("id", "timestamp_seconds(t) AS made")
+    edge = Edge("c", "k", "r", "p", "id", "at", "made")
+    got = []
+    for hot in (10, 1_000_000):
+        monkeypatch.setattr(orphans, "HOT", hot)
+        got.append(sorted(map(str, direct_orphans(child, parent, edge).collect())))
+    want = sum(1 for _, r, t in rows if r == "gone" or r == "late" and t < 3)
+    assert got[0] == got[1] and len(got[0]) == want
