@@ -123,6 +123,7 @@ _STREET_WORDS = frozenset(_STREETS)
 _ROMANCE = frozenset("rue avenue boulevard allée chemin quai place impasse route cours square passage sentier Calle Avda Av Avenida Plaza Pza Paseo Camino Ronda Travesía Rua Via Viale Piazza C".split())
 _CALL_NAME, _CALL_NUMBER, _CALL_STREET, _CALL_BOX, _CALL_POSTCODE, _CALL_ROMANCE = (1 << i for i in range(6))
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
+_FIVE = re.compile(r"\d{5}")
 _POSTCODE = re.compile(r"(?:\W*|.*,)\d{5}(?!\d)")
 
 
@@ -139,11 +140,11 @@ _NUMBER_TOKEN = re.compile(
     r"(?<![\w.])(?!\d{4}-\d\d-\d\dT)(?:[+(]\d|0\d{2,4}(?![\w.=:-])|\d{1,8}[-/.]\d{2,8}[-/.)]\d|\d{3}[-/]\d{4,}|\d{6}-\d{5}|0\d{2}/\d{4,}|\d{8}[A-Z]|[A-Z]{1,2}\d{3,}[\w-]*|[A-Z]{2}\d\d(?!\w)|[A-Z]{2}(?![\w=:]))"
 )
 #: Groups of digits with blanks between them; a trunk prefix and a longer group; four groups with mixed separators. Every shape of a number has one of these or a token above.
-_SPACED = (re.compile(r"\d{2,4} \d{2,5}(?![\w.])"), re.compile(r"0[1-9]\d{0,4}[ /]\d{3}"), re.compile(r"1[-. ]\d{3}[-. ]\d{3}[-. ]\d{4}"))
+_SPACED = re.compile(r"\d{2,4} \d{2,5}(?![\w.])|0[1-9]\d{0,4}[ /]\d{3}|1[-. ]\d{3}[-. ]\d{3}[-. ]\d{4}")
 
 
 def _number_lines(text: str, tokens: Iterable[str]) -> list[tuple[int, int]]:
-    return _lines(text, tokens, 0, sorted(m.start() for p in _SPACED for m in p.finditer(text)))
+    return _lines(text, tokens, 0, [m.start() for m in _SPACED.finditer(text)])
 
 
 def _lines(text: str, tokens: Iterable[str], more: int = 0, places: Iterable[int] = (), second: Iterable[str] = ()) -> list[tuple[int, int]]:
@@ -411,7 +412,7 @@ class _Roles(dict):
     def call(self, token: str) -> int:
         """What a raw token calls for: a look for names, numbers or addresses on its line."""
         wanted = 0
-        for w in _LETTERS.findall(token):
+        for w in (token,) if token.isalpha() else _LETTERS.findall(token):
             if self[w] & (GIVEN | SURNAME):
                 wanted |= _CALL_NAME
             if w in _STREET_WORDS:
@@ -424,7 +425,7 @@ class _Roles(dict):
             wanted |= _CALL_ROMANCE
         if _NUMBER_TOKEN.search(token):
             wanted |= _CALL_NUMBER
-        if _POSTCODE.match(token):
+        if _FIVE.search(token) and _POSTCODE.match(token):
             wanted |= _CALL_POSTCODE
         return wanted
 
