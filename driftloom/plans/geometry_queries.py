@@ -295,6 +295,17 @@ traj AS (
 _SUM = """SELECT seq, count(*) AS tokens, round(avg({x}), 6) AS mean, round(max({x}), 6) AS max, round(list_avg(list_slice(list_reverse_sort(list({x})), 1, 4)), 6) AS top_mean,
 round(avg(CASE WHEN {x} > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS positive_share{more} FROM scored GROUP BY seq"""
 
+#: The first component of the centred label means by iterating their Gram matrix.
+_PC1 = _E.replace("WITH e AS", "WITH RECURSIVE e AS", 1) + """,
+lm AS (SELECT label, i, avg(x) AS x FROM long GROUP BY ALL), ctr AS (SELECT label, list(x - c ORDER BY i) AS v FROM (SELECT label, i, x, avg(x) OVER (PARTITION BY i) AS c FROM lm) GROUP BY label),
+gr AS (SELECT list(g ORDER BY label) AS g, max(n) AS n, sum(own) AS trace FROM (SELECT p.label, list(list_inner_product(p.v, q.v) ORDER BY q.label) AS g, count(*) AS n, max(list_inner_product(p.v, p.v)) AS own FROM ctr p, ctr q GROUP BY p.label)),
+iter AS (SELECT 0 AS k, list_transform(range(n), lambda x: 1.0::DOUBLE + x * x) AS u FROM gr
+  UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (SELECT k, list_transform(g, lambda r: list_inner_product(r, u)) AS w FROM iter, gr WHERE k < 400)),
+top AS (SELECT u, list_inner_product(u, list_transform(g, lambda r: list_inner_product(r, u))) AS energy, trace, n FROM iter, gr WHERE k = 400),
+along AS (SELECT list(list_inner_product(v, a) ORDER BY label) AS d FROM ctr, axis),
+pc AS (SELECT n, energy / trace AS evr, abs(list_inner_product(u, d)) / sqrt(energy) AS axis_cosine FROM top, along)
+"""
+
 ORACLE = {
     "unit_vector": _E + "SELECT vec_id, i AS pos, round(x / nrm, 6) AS value FROM long JOIN (SELECT vec_id, sqrt(list_inner_product(v, v)) AS nrm FROM e) USING (vec_id)",
     "vector_shape_check": _E + "SELECT count(*) AS vectors, count(DISTINCT len(v)) AS shapes, min(len(v)) AS dimension, count(*) FILTER (len(list_filter(v, lambda x: x IS NULL OR isnan(x))) > 0) AS bad FROM e",
@@ -333,5 +344,8 @@ round(t.final_cosine - b.final_cosine, 6) AS delta FROM traj t JOIN traj b ON b.
     "moving_groups": _STEPS + """SELECT label, round(f.loading, 6) AS first_loading, round(l.loading, 6) AS final_loading, round(l.loading - f.loading, 6) AS delta
 FROM (SELECT * FROM loads WHERE step = 0) f JOIN (SELECT * FROM loads WHERE step = 3) l USING (label) WHERE label NOT IN (0, 1) ORDER BY abs(round(l.loading - f.loading, 6)) DESC, label LIMIT 5""",
     "trajectory_plot_data": _STEPS + "SELECT step, round(log2(step + 1), 6) AS x, round(final_cosine, 6) AS y FROM traj",
+    "role_pc1": _PC1 + "SELECT 1 AS component, n, round(evr, 6) AS evr, round(axis_cosine, 6) AS axis_cosine FROM pc",
+    "geometry_gate": _PC1 + """, b AS (SELECT CASE WHEN axis_cosine >= 0.30 THEN 'pass' WHEN axis_cosine >= 0.15 THEN 'caution' ELSE 'fail' END AS cosine_band, CASE WHEN evr >= 0.20 THEN 'pass' WHEN evr >= 0.10 THEN 'caution' ELSE 'fail' END AS evr_band, n = 10 AS complete FROM pc)
+SELECT cosine_band, evr_band, complete, CASE WHEN NOT complete OR 'fail' IN (cosine_band, evr_band) THEN 'stop' WHEN 'caution' IN (cosine_band, evr_band) THEN 'caution' ELSE 'proceed' END AS gate FROM b""",
     "scope_rollup": _E + "SELECT CASE WHEN grouping(label) = 1 THEN 'global' ELSE 'label' END AS scope, CAST(label AS VARCHAR) AS scope_id, count(*) AS records, round(avg(raw), 6) AS mean_dot FROM scored GROUP BY ROLLUP (label)",
 }

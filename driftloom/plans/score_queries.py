@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import vectors as V
 from driftloom.operators import stats as S
-from driftloom.session import table
+from driftloom.session import cut, table
 
 SCORES = ("local_aa_score", "primary_axis_dot_score", "loss")
 TOLERANCE = 1e-3
@@ -102,19 +102,41 @@ def batch_invariance(spark, sf_dir, tolerance=TOLERANCE):
 def method_comparison(spark, sf_dir):
     """Two scores of the same rows, per layer: Pearson, Spearman with average ranks, agreement of signs."""
     rows = _scores(spark, sf_dir, "layer", "local_aa_score", "primary_axis_dot_score").where(V.is_finite(F.col("local_aa_score")) & V.is_finite(F.col("primary_axis_dot_score"))).select("layer", "score_id", F.col("local_aa_score").alias("a"), F.col("primary_axis_dot_score").alias("b"))
-    rows = S.average_ranks(S.average_ranks(rows, ["layer"], "a", "ra"), ["layer"], "b", "rb")
+    rows = S.average_ranks(cut(S.average_ranks(cut(rows), ["layer"], "a", "ra")), ["layer"], "b", "rb")
     a, b = F.col("a"), F.col("b")
     return rows.groupBy("layer").agg(F.count(F.lit(1)).alias("records"), *_r(pearson=S.pearson(a, b), spearman=S.pearson(F.col("ra"), F.col("rb")), sign_agreement=F.avg(((a >= 0) == (b >= 0)).cast("double"))))
 
 
-def adaptive_strata(spark, sf_dir):
-    """Strata of the samples by both scores' means: concordant high and low, disagreement, near zero; hash order within, five of each."""
-    rows = _scores(spark, sf_dir, "sample_id", "local_aa_score", "primary_axis_dot_score").where(V.is_finite(F.col("local_aa_score")) & V.is_finite(F.col("primary_axis_dot_score")) & F.col("sample_id").isNotNull())
-    means = rows.groupBy("sample_id").agg(F.round(F.avg("local_aa_score"), 4).alias("a"), F.round(F.avg("primary_axis_dot_score"), 4).alias("b"))
-    stratum = F.when((F.abs("a") < 0.01) & (F.abs("b") < 0.01), "near_zero").when((F.col("a") > 0.1) & (F.col("b") > 0), "concordant_high").when((F.col("a") < -0.1) & (F.col("b") < 0), "concordant_low").when(F.col("a") * F.col("b") < 0, "disagreement").otherwise("other")
-    h = F.sha2(F.concat_ws(":", F.lit("1729"), F.lit("fopci_adaptive"), "sample_id"), 256)
-    marked = means.withColumn("stratum", stratum).withColumn("_h", h)
-    return marked.withColumn("rank", F.row_number().over(Window.partitionBy("stratum").orderBy("_h", "sample_id"))).where("rank <= 5").select("stratum", "rank", "sample_id", "a", "b")
+#: The strata of an adaptive selection and how many samples each takes.
+STRATA = (("concordant_high", 50), ("concordant_low", 50), ("first_above_second", 50), ("second_above_first", 50), ("target_disagreement", 25), ("near_zero", 25))
+
+
+def adaptive_strata(spark, sf_dir, seed=1729):
+    """Strata of the samples by rank percentiles of their mean scores: both methods high, both low, one above the other, both targets apart, both near the middle.
+
+    Ties go by hash; a sample may be in several strata."""
+    columns = ("local_aa_score", "primary_axis_dot_score", "final_aa_score")
+    rows = _scores(spark, sf_dir, "sample_id", *columns).where(F.col("sample_id").isNotNull())
+    for c in columns:
+        rows = rows.where(V.is_finite(F.col(c)))
+    means = cut(rows.groupBy("sample_id").agg(*(S.exact_mean(F.col(c)).alias(n) for n, c in zip("abc", columns))))
+    for n in "abc":
+        means = cut(S.average_ranks(means, [], n, f"r{n}"))
+    total = means.agg(F.count(F.lit(1)).alias("total"))  # one row
+    h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit("fopci_adaptive"), "sample_id"), 256)
+    p = {n: F.col(f"r{n}") / F.col("total") for n in "abc"}
+    ranked = cut(means.crossJoin(F.broadcast(total)).select("sample_id", h.alias("_h"), *(p[n].alias(f"p{n}") for n in "abc")))
+    a, b, c = F.col("pa"), F.col("pb"), F.col("pc")
+    order = {
+        "concordant_high": -F.least(a, b), "concordant_low": F.greatest(a, b), "first_above_second": b - a, "second_above_first": a - b, "target_disagreement": -F.abs(a - c), "near_zero": F.greatest(F.abs(a - 0.5), F.abs(b - 0.5)),
+    }
+    out = None
+    for name, n in STRATA:
+        best = ranked.withColumn("_by", F.round(order[name], 9)).orderBy("_by", "_h", "sample_id").limit(n)
+        rank = F.row_number().over(Window.orderBy("_by", "_h", "sample_id"))  # n rows
+        own = best.select(F.lit(name).alias("stratum"), rank.alias("rank"), "sample_id", *(F.round(x, 6).alias(x) for x in ("pa", "pb", "pc")))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def axis_keys(spark, sf_dir):
@@ -231,9 +253,11 @@ SELECT metric, count(*) AS records, round(max(d), 6) AS max_delta, round(CAST(su
     "method_comparison": _S + """, t AS (SELECT layer, local_aa_score AS a, primary_axis_dot_score AS b FROM s WHERE isfinite(local_aa_score) AND isfinite(primary_axis_dot_score)),
 r AS (SELECT *, rank() OVER (PARTITION BY layer ORDER BY a) + (count(*) OVER (PARTITION BY layer, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY layer ORDER BY b) + (count(*) OVER (PARTITION BY layer, b) - 1) / 2.0::DOUBLE AS rb FROM t)
 SELECT layer, count(*) AS records, round(""" + _CORR.format("a", "b") + ", 6) AS pearson, round(" + _CORR.format("ra", "rb") + """, 6) AS spearman, round(avg(CASE WHEN (a >= 0) = (b >= 0) THEN 1.0::DOUBLE ELSE 0 END), 6) AS sign_agreement FROM r GROUP BY layer""",
-    "adaptive_strata": _S + """, m AS (SELECT sample_id, round(avg(local_aa_score), 4) AS a, round(avg(primary_axis_dot_score), 4) AS b FROM s WHERE isfinite(local_aa_score) AND isfinite(primary_axis_dot_score) AND sample_id IS NOT NULL GROUP BY 1),
-t AS (SELECT *, CASE WHEN abs(a) < 0.01 AND abs(b) < 0.01 THEN 'near_zero' WHEN a > 0.1 AND b > 0 THEN 'concordant_high' WHEN a < -0.1 AND b < 0 THEN 'concordant_low' WHEN a * b < 0 THEN 'disagreement' ELSE 'other' END AS stratum FROM m)
-SELECT stratum, row_number() OVER (PARTITION BY stratum ORDER BY sha256('1729:fopci_adaptive:' || sample_id), sample_id) AS rank, sample_id, a, b FROM t QUALIFY rank <= 5""",
+    "adaptive_strata": _S + """, m AS (SELECT sample_id, """ + ", ".join(f"CAST(sum(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) / count({c}) AS {n}" for n, c in zip("abc", ("local_aa_score", "primary_axis_dot_score", "final_aa_score"))) + """
+  FROM s WHERE isfinite(local_aa_score) AND isfinite(primary_axis_dot_score) AND isfinite(final_aa_score) AND sample_id IS NOT NULL GROUP BY 1),
+p AS (SELECT sample_id, sha256('1729:fopci_adaptive:' || sample_id) AS h, """ + ", ".join(f"(rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0::DOUBLE) / count(*) OVER () AS p{n}" for n in "abc") + """ FROM m),
+o AS (SELECT *, unnest([""" + ", ".join(f"{{'stratum': '{name}', 'most': {n}, 'by': round({by}, 9)}}" for (name, n), by in zip(STRATA, ("-least(pa, pb)", "greatest(pa, pb)", "pb - pa", "pa - pb", "-abs(pa - pc)", "greatest(abs(pa - 0.5::DOUBLE), abs(pb - 0.5::DOUBLE))"))) + """]) AS x FROM p)
+SELECT x.stratum AS stratum, row_number() OVER (PARTITION BY x.stratum ORDER BY x.by, h, sample_id) AS rank, sample_id, round(pa, 6) AS pa, round(pb, 6) AS pb, round(pc, 6) AS pc FROM o QUALIFY rank <= x.most""",
     "axis_keys": "SELECT axis_name, count(*) AS rows FROM (SELECT unnest(map_keys(axis_scores)) AS axis_name FROM gradient_scores) GROUP BY 1",
     "json_columns": """SELECT import_id, '{' || array_to_string(list_filter(['"rollout_records":' || counts.rollout_records, '"missing_rollout_ids":' || counts.missing_rollout_ids], lambda x: x IS NOT NULL), ',') || '}' AS counts_json, counts.missing_rollout_ids AS missing
 FROM (SELECT DISTINCT import_id, counts FROM import_manifests)""",
