@@ -25,7 +25,7 @@ def planned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "sampled_sequences").where("source_file IS NOT NULL").select("sample_id", "uid", "batch_idx", "source_file")
     rows.repartition("source_file").write.partitionBy("source_file").parquet(root)
     plans = table(spark, sf_dir, "window_plan").select(F.col("window_id").alias("plan_id"), F.col("parquet_files").alias("files"), F.col("batch_idx_start").alias("start"), F.col("batch_idx_end_exclusive").alias("end"))
-    read = tables.read_planned(spark, plans, root, ["sample_id", "uid", "batch_idx"], missing="skip")
+    read = tables.read_planned(spark, plans, root, ["sample_id", "uid", "batch_idx"], "skip", rows.schema)
     return read.groupBy("plan_id", "source_file").agg(F.count(F.lit(1)).alias("rows"), F.min("batch_idx").alias("first_batch"), F.max("batch_idx").alias("last_batch"))
 
 
@@ -46,7 +46,8 @@ def target_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multi_axis_filter(spark: SparkSession, sf_dir: str, axes=("aa_step0", "aa_step1", "aa_step2", "aa_step3", "innovation"), top_k: int = 4) -> DataFrame:
     """Every sequence with every wanted target of the bundle: mean, greatest, top mean and positive share of its tokens' projections."""
     rows = Q._vectors(spark, sf_dir)
-    axes = targets.load(_bundle(rows), axes)
+    made = _bundle(rows)
+    axes = targets.load(made, axes) if not rows.isEmpty() else made.select("axis_name", F.col("vector").alias("axis"))
     x = F.col("raw")
     scored = targets.projected(rows.select("seq", "v"), "v", axes).groupBy("seq", "axis_name")
     return scored.agg(F.count(x).alias("tokens"), F.round(F.avg(x), 6).alias("mean"), F.round(F.max(x), 6).alias("max"), F.round(S.top_mean(x, top_k), 6).alias("top_mean"), F.round(S.positive_share(x), 6).alias("positive_share"))

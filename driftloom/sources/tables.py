@@ -59,15 +59,19 @@ def resolve_shards(spark: SparkSession, root: str, names: Sequence[str], missing
     return found
 
 
-def read_planned(spark: SparkSession, plans: DataFrame, root: str, columns: Sequence[str], missing: str = "error") -> DataFrame:
+def read_planned(spark: SparkSession, plans: DataFrame, root: str, columns: Sequence[str], missing: str = "error", schema: StructType | None = None) -> DataFrame:
     """The rows of each plan's files and half-open range: (plan_id, source_file, columns). Only planned files are read, each once for all plans.
 
-    ``plans``: plan_id, files, start, end. One name per planned file reaches the driver, as the reader needs them."""
+    ``plans``: plan_id, files, start, end. One name per planned file reaches the driver, as the reader needs them. Where no planned file is there and missing
+    ones may be skipped, the result is empty, of the columns of ``schema``."""
     pairs = plans.select("plan_id", "start", "end", F.explode("files").alias("source_file"))
     names = sorted(r.source_file for r in pairs.select("source_file").distinct().collect())
     paths = resolve_shards(spark, root, names, missing)
     if not paths:
-        raise FileNotFoundError("none of the planned shards was found")
+        if schema is None:
+            raise FileNotFoundError("none of the planned shards was found")
+        none = spark.createDataFrame([], StructType([schema[c] for c in columns]))
+        return none.join(pairs.select("plan_id", "source_file"), F.lit(False)).select("plan_id", "source_file", *columns)
     bounds = plans.agg(F.min("start").alias("lo"), F.max("end").alias("hi")).first()
     shard = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+\.parquet)(?:/part-[^/]*)?$", 1)
     rows = spark.read.parquet(*paths.values()).where((F.col("batch_idx") >= bounds.lo) & (F.col("batch_idx") < bounds.hi)).select(*columns, F.col("batch_idx").alias("_at"), shard.alias("source_file"))
