@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
@@ -244,6 +244,34 @@ def test_fill_does_not_fall_with_more_blocks(spark):
     assert len({r.tokens for r in bins.values()}) == 1 and all(r.bins <= r.least_bins + 1 for r in bins.values())
 
 
+def test_items_that_fill_no_bin_are_placed_however_many_blocks_they_make(spark):
+    df = spark.range(660).select("id", F.when(F.col("id") < 600, 60).otherwise(35).alias("n"))
+    placed = packing.place(df, "id", "n", 100, 8).collect()
+    by_bin = defaultdict(list)
+    for r in placed:
+        by_bin[r.round, r.block, r.bin].append(r.n_tokens)
+    assert sorted(r.id for r in placed) == list(range(660))
+    assert Counter(map(tuple, map(sorted, by_bin.values()))) == {(35, 60): 60, (60,): 540}
+
+
+def test_the_plan_takes_the_fullest_bin_each_time():
+    rng = random.Random(8)
+    for _ in range(100):
+        counts = {s: rng.randint(1, 40) for s in rng.sample(range(1, 31), rng.randint(1, 12))}
+        left = dict(counts)
+        for own, times in packing.plan(counts, 30):
+            for _ in range(times):
+                first = max(s for s, n in left.items() if n)
+                left[first] -= 1
+                most = sum(packing.fullest(left, sorted((s for s, n in left.items() if n), reverse=True), 30 - first))
+                left[first] += 1
+                assert own.get(first) and sum(s * n for s, n in own.items()) == first + most <= 30
+                left = {s: n - own.get(s, 0) for s, n in left.items()}
+                assert min(left.values()) >= 0
+        assert not any(left.values())
+    assert len(packing.plan({s: 10**9 for s in range(1, 101)}, 100)) < 1000  # grows with the lengths only
+
+
 def test_token_count_equals_the_tokenizer(spark):
     texts = [None, "", " ", "a  b\n\n c", "<|endoftext|>", "日本語 é's", "x" * 5000]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(token_count("t").alias("n")).collect()
