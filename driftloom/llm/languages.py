@@ -1,6 +1,6 @@
 """The language of a text: dictionaries of frequent words label what they are sure of, and byte trigrams learn the rest from it.
 
-The model is a table of trigram counts by language, trained on a bounded sample of the given texts: those whose language the dictionaries tell with a clear lead count for
+The model is a table of trigram counts by language, trained over all given texts: those whose language the dictionaries tell with a clear lead count for
 it. Its size is fixed (languages x BUCKETS), so it may reach the driver and be sent to the executors. Languages with a script of their own are
 told by the script.
 
@@ -11,6 +11,7 @@ else is there; with no texts to learn from, the dictionaries alone are the model
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -34,13 +35,11 @@ LANGUAGES = tuple(STOPWORDS)
 BUCKETS = 8192
 #: What a word of a dictionary weighs beside the trigrams, as log-odds; the share of smoothing; the lead from which a text trains the model.
 VOTE, SMOOTH, SURE = 6.0, 0.2, 25.0
-#: Most texts that the model is fitted on.
-TRAINED = 40_000
 _LANGS_OF: dict[str, tuple[int, ...]] = {}
 for _i, _words in enumerate(STOPWORDS.values()):
     for _w in dict.fromkeys(_words.split()):
         _LANGS_OF[_w] = (*_LANGS_OF.get(_w, ()), _i)
-_LETTERS = re.compile(r"(?:[^\w¿¡]|[\d_])+")  # ¿ and ¡ tell a language as letters do
+_OTHER = re.compile(r"[^\w¿¡]|[\d_]")  # ¿ and ¡ tell a language as letters do
 _QUOTED = re.compile(r"[\"“„«「『][^\"”“»」』\n]*[\"”“»」』]")
 _CODE = re.compile(r"(?s)```.*?(?:```|$)")
 # Scripts as ranges of code points.
@@ -66,8 +65,19 @@ def prose(text: str) -> str:
     return bare if bare is text or sum(map(str.isalpha, bare)) >= 12 else text
 
 
+class _Spaced(dict):
+    """What stands for each code point: itself, or a blank for what is no letter."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = 32 if _OTHER.match(chr(code)) else code
+        return self[code]
+
+
+_SPACED = _Spaced()
+
+
 def _letters(text: str) -> str:
-    return " " + _LETTERS.sub(" ", text.lower()).strip() + " "
+    return " " + " ".join(text.lower().translate(_SPACED).split()) + " "
 
 
 def trigrams(letters: str) -> np.ndarray:
@@ -111,46 +121,59 @@ def to_model(counts: np.ndarray) -> np.ndarray:
     return np.log((1 - SMOOTH) * own + SMOOTH * mean).astype(np.float32)
 
 
-def train(df: DataFrame, texts: list[Column], prepare: Sequence[Callable[[str], str]], most: int = TRAINED) -> np.ndarray:
-    """The model of texts in the given columns, in two rounds: of the texts the dictionaries are sure of, then of those the first model is.
+def train(df: DataFrame, texts: list[Column], prepare: Sequence[Callable[[str], str]], most: int | None = None) -> np.ndarray:
+    """The model of all texts in the given columns, in two rounds: of the texts the dictionaries are sure of, then of those the first model is.
 
-    It is fitted on at most ``most`` texts, those of least hash, taken evenly over all rows; every text counts for what it is afterwards. ``prepare`` takes
-    from a text of each column the part that is in one language."""
-    held = [t.alias(f"t{i}") for i, t in enumerate(texts)]
+    ``prepare`` takes from a text of each column the part that is in one language. A caller that wants a rough model may have it fitted on at most
+    ``most`` texts, those of least hash."""
     columns = [f"t{i}" for i in range(len(texts))]
-    some = df.select(*held).orderBy(F.xxhash64(*columns), *columns).limit(-(-most // len(texts)))  # each task sends no more than these
-    long = cut(some.select(F.posexplode(F.array(*columns)).alias("i", "t")).where("t IS NOT NULL"))
-    long = long.repartition(max(1, min(64, most // 1000)))
-    return _round(long, prepare, _round(long, prepare, None))
+    rows = df.select(*(t.alias(c) for t, c in zip(texts, columns)))
+    if most is not None:
+        rows = cut(rows.orderBy(F.xxhash64(*columns), *columns).limit(-(-most // len(texts))))  # each task sends no more than these
+    return _round(rows, prepare, _round(rows, prepare, None))
 
 
-def _round(long: DataFrame, prepare: Sequence[Callable[[str], str]], model: np.ndarray | None) -> np.ndarray:
+def _round(rows: DataFrame, prepare: Sequence[Callable[[str], str]], model: np.ndarray | None) -> np.ndarray:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
         for pdf in frames:
-            for i, t in zip(pdf["i"], pdf["t"]):
-                t = prepare[i](t)
-                letters = _letters(prose(t))
-                lang = voted(letters) if model is None else language_of(t, model, SURE)
-                if lang in STOPWORDS:
-                    counts[LANGUAGES.index(lang)] += np.bincount(trigrams(letters), minlength=BUCKETS)
+            parts = Counter(part(t) for c, part in zip(pdf.columns, prepare) for t in pdf[c] if t is not None)
+            found: dict[str, list[tuple[str, int]]] = {}
+            for t, n in parts.items():  # what is said again is looked at once
+                letters = _letters(prose(t)) if model is None else _spelled(t)
+                lang = voted(letters) if model is None else letters and _told(letters, trigrams(letters), model, SURE)
+                if lang:
+                    found.setdefault(lang, []).append((letters, n))
+            for lang, own in found.items():
+                grams = [trigrams(x) for x, _ in own]
+                times = np.repeat([n for _, n in own], [len(x) for x in grams])
+                counts[LANGUAGES.index(lang)] += np.bincount(np.concatenate(grams), times, BUCKETS).astype(np.int64)
         lang, bucket = np.nonzero(counts)
         yield pd.DataFrame({"lang": lang, "bucket": bucket, "n": counts[lang, bucket]})
 
-    rows = long.mapInPandas(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x BUCKETS at most
+    found = rows.mapInPandas(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x BUCKETS at most
     counts = np.zeros((len(LANGUAGES), BUCKETS))
-    counts[rows["lang"], rows["bucket"]] = rows["n"]
+    counts[found["lang"], found["bucket"]] = found["n"]
     return to_model(counts + seed_counts())
 
 
+def _spelled(text: str) -> str | None:
+    """The letters of a text that no script tells, if they are enough."""
+    bare = prose(text)
+    letters = "" if script_of(bare) else _letters(bare)
+    return letters if len(letters) >= 14 else None
+
+
+def _told(letters: str, grams: np.ndarray, model: np.ndarray, lead: float) -> str | None:
+    scores = model.take(grams, axis=1).sum(axis=1) + VOTE * np.array(_votes(letters.split()))
+    best, second = np.argsort(scores)[::-1][:2]
+    return LANGUAGES[best] if scores[best] - scores[second] >= lead else None
+
+
 def language_of(text: str, model: np.ndarray, lead: float = 4.0) -> str | None:
     bare = prose(text)
     script = script_of(bare)
     if script:
         return script
     letters = _letters(bare)
-    if len(letters) < 14:
-        return None
-    scores = model[:, trigrams(letters)].sum(axis=1) + VOTE * np.array(_votes(letters.split()))
-    best, second = np.argsort(scores)[::-1][:2]
-    return LANGUAGES[best] if scores[best] - scores[second] >= lead else None
+    return _told(letters, trigrams(letters), model, lead) if len(letters) >= 14 else None

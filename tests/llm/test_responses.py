@@ -232,3 +232,20 @@ def test_the_model_of_languages_is_fitted_on_a_bounded_sample(spark):
     whole, some = (languages.train(spark.createDataFrame(rows, "a string"), [F.col("a")], (str,), n) for n in (1000, 10))
     seed = languages.seed_counts()
     assert not np.allclose(whole, some) and not np.allclose(some, languages.to_model(seed))
+
+
+def test_the_model_of_languages_is_of_all_texts(spark):
+    rng = random.Random(6)
+    german, english = "Man kann das nicht sagen wenn die Leute im Dorf es noch nicht wissen und auch nicht fragen".split(), "What do you think of the bridge and what would they say if the people of the village asked".split()
+    texts = [" ".join(rng.choices(own, k=40)) for own in (german, english) for _ in range(15)]
+    df = spark.range(41_000).select(F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 30 + 1).cast("int")).alias("a"))
+    model = None
+    for _ in range(2):
+        counts = languages.seed_counts()
+        for i, t in enumerate(texts):
+            lang = languages.voted(languages._letters(t)) if model is None else languages.language_of(t, model, languages.SURE)
+            if lang:
+                counts[languages.LANGUAGES.index(lang)] += len(range(i, 41_000, 30)) * np.bincount(languages.trigrams(languages._letters(t)), minlength=languages.BUCKETS)
+        model = languages.to_model(counts)
+    assert np.array_equal(languages.train(df, [F.col("a")], (str,)), model)
+    assert not np.array_equal(languages.train(df, [F.col("a")], (str,), 40_000), model)
