@@ -53,8 +53,11 @@ _FLUSH = 400_000
 _CAP = r"(?:[OD]['’])?[A-ZÀ-ÖØ-Þ]\w+(?:[-’'][A-ZÀ-ÖØ-Þ]\w+)*"
 # Particles of surnames.
 _PARTICLE = r"(?:(?:de la|de las|de los|van der|van den|van de|von der|von dem|de|da|do|dos|di|du|del|della|der|den|van|von|zu|al|el|bin|ibn|ter|le|la|af|av) )"
-#: A capitalised word after an initial, or two capitalised words with a blank or comma between them: (word after initial, first, comma, second).
-_PAIR = re.compile(rf"(?<![\w@./+-])(?:[A-Z]\. {_PARTICLE}?({_CAP})(?!\.? ?\d)|({_CAP})(?=(,?) (?:[A-Z]\. )?{_PARTICLE}?({_CAP})(?!\.? ?\d|\. [a-z\d])))")
+#: What follows the first letter of such a word.
+_CAP_REST = r"(?:(?<=[OD])['’][A-ZÀ-ÖØ-Þ])?\w+(?:[-’'][A-ZÀ-ÖØ-Þ]\w+)*"
+#: A capitalised word after an initial, or two capitalised words with a blank or comma between them: (first or all, word after initial, comma, second).
+#: It begins with a capital, which the search leaps to.
+_PAIR = re.compile(rf"([A-ZÀ-ÖØ-Þ](?<![\w@./+-].)(?:(?<=[A-Z])\. {_PARTICLE}?({_CAP})(?!\.? ?\d)|{_CAP_REST}(?=(,?) (?:[A-Z]\. )?{_PARTICLE}?({_CAP})(?!\.? ?\d|\. [a-z\d]))))")
 #: Stands for the given name behind an initial.
 _ANY_GIVEN = "~"
 # Titles and greetings, which no name begins with.
@@ -68,6 +71,7 @@ _TOKEN_EDGE = re.compile(r"^[^\w]+|(?:['’]s)?[^\w]+$|['’]s$")
 _PREFIX = re.compile(r"^[OoDd]['’](?=\w{3})")
 _SPLIT = re.compile(r"[^\w'’]+|_")
 _DIGIT = re.compile(r"\d")
+_ONES = str.maketrans("23456789", "1" * 8)
 
 # --- numbers -------------------------------------------------------------------------------------------------------
 # Shapes of numbers of documents and registers that nothing else has.
@@ -140,11 +144,12 @@ _NUMBER_TOKEN = re.compile(
     r"(?<![\w.])(?!\d{4}-\d\d-\d\dT)(?:[+(]\d|0\d{2,4}(?![\w.=:-])|\d{1,8}[-/.]\d{2,8}[-/.)]\d|\d{3}[-/]\d{4,}|\d{6}-\d{5}|0\d{2}/\d{4,}|\d{8}[A-Z]|[A-Z]{1,2}\d{3,}[\w-]*|[A-Z]{2}\d\d(?!\w)|[A-Z]{2}(?![\w=:]))"
 )
 #: Groups of digits with blanks between them; a trunk prefix and a longer group; four groups with mixed separators. Every shape of a number has one of these or a token above.
-_SPACED = re.compile(r"\d{2,4} \d{2,5}(?![\w.])|0[1-9]\d{0,4}[ /]\d{3}|1[-. ]\d{3}[-. ]\d{3}[-. ]\d{4}")
+#: Each begins with a character that the search leaps to.
+_SPACED = (re.compile(r" (?<=\d\d.)\d{2,5}(?![\w.])"), re.compile(r"0[1-9]\d{0,4}[ /]\d{3}"), re.compile(r"1[-. ]\d{3}[-. ]\d{3}[-. ]\d{4}"))
 
 
 def _number_lines(text: str, tokens: Iterable[str]) -> list[tuple[int, int]]:
-    return _lines(text, tokens, 0, [m.start() for m in _SPACED.finditer(text)])
+    return _lines(text, tokens, 0, sorted(m.start() for p in _SPACED for m in p.finditer(text)))
 
 
 def _lines(text: str, tokens: Iterable[str], more: int = 0, places: Iterable[int] = (), second: Iterable[str] = ()) -> list[tuple[int, int]]:
@@ -278,7 +283,7 @@ def count_terms(df: DataFrame, text: str) -> DataFrame:
                     rows["w", t, ""] += n
                     if token[:1].islower():
                         low["w", t, ""] += n
-            for (alone, a, comma, b), n in pairs.items():
+            for (a, alone, comma, b), n in pairs.items():
                 for x in [_ANY_GIVEN] if alone else terms_of(a):
                     for y in terms_of(alone or b):
                         rows["v" if comma else "p", y if comma else x, x if comma else y] += n
@@ -393,6 +398,7 @@ class _Roles(dict):
         self.table = table
         self.idle: set[str] = set()  # raw tokens that call for nothing
         self.calls: dict[str, int] = {}  # raw tokens and what they call for
+        self.shapes: dict[str, int] = {}  # the same for tokens with digits, all of which but 0 are alike there
 
     def term(self, t: str) -> int:
         a, b = _cells(t, len(self.table))
@@ -435,15 +441,20 @@ class _Roles(dict):
         for token in fresh:
             wanted = self.calls.get(token)
             if wanted is None:
-                wanted = self.call(token)
-                if wanted:
-                    self.calls[token] = wanted
-                elif not _DIGIT.search(token):
-                    self.idle.add(token)
+                shape = token.translate(_ONES)
+                wanted = self.shapes.get(shape)
+                if wanted is None:
+                    wanted = self.call(token)
+                    if _DIGIT.search(token):
+                        self.shapes[shape] = wanted
+                    elif wanted:
+                        self.calls[token] = wanted
+                    else:
+                        self.idle.add(token)
             if wanted:
                 found[token] = wanted
-        if len(self.idle) + len(self.calls) > 500_000:
-            self.idle, self.calls = set(), {}
+        if len(self.idle) + len(self.calls) + len(self.shapes) > 500_000:
+            self.idle, self.calls, self.shapes = set(), {}, {}
         return found
 
 
@@ -524,17 +535,19 @@ def _names_of_line(line: str, roles: _Roles) -> Iterator[tuple[int, int, list[st
     for m in _WORDS.finditer(line):
         w = m.group()
         end = m.end()
-        for tail in ("'s", "’s"):
-            if w.lower().endswith(tail):
-                w, end = w[:-2], end - 2
-        before, after = line[m.start() - 1 : m.start()], line[end : end + 1]
-        apart = before in ("_", "+", "-", "/", "\\") or before == "." and not line[m.start() - 2 : m.start() - 1].isupper() or after in ("_", "@", "+", "/") or before.isdigit() or after.isdigit()
-        words.append((m.start(), end, w, 0 if apart else roles[w], apart))
+        if w[-1] in "sS" and w[-2:-1] in ("'", "’"):
+            w, end = w[:-2], end - 2
+        role = roles[w]
+        if role:
+            before, after = line[m.start() - 1 : m.start()], line[end : end + 1]
+            apart = before in ("_", "+", "-", "/", "\\") or before == "." and not line[m.start() - 2 : m.start() - 1].isupper() or after in ("_", "@", "+", "/") or before.isdigit() or after.isdigit()
+            role = 0 if apart else role
+        words.append((m.start(), end, w, role))
     used = 0
     n = len(words)
     i = 0
     while i < n:
-        start, end, w, role, apart = words[i]
+        start, end, w, role = words[i]
         if start < used or not role & (GIVEN | SURNAME):
             i += 1
             continue
@@ -564,7 +577,7 @@ def _next_name_word(line: str, words: list, i: int) -> int | None:
 
 
 def _grow(line: str, words: list, i: int, used: int) -> tuple[int, int, list[str]] | None:
-    start, end, w, role, _ = words[i]
+    start, end, w, role = words[i]
     shape = _shape(w)
     if shape == "lower" and _PREFIX.match(w):
         shape = "title"

@@ -112,3 +112,22 @@ def test_the_gate_loses_nothing_against_the_shapes_alone():
                 if pattern is pii._PHONE and not 7 <= sum(c.isdigit() for c in m.group()) <= 15 or "\n" in m.group():
                     continue
                 assert m.span() in gated or any(a < m.end() and m.start() < b for a, b in gated), (text, m.group())
+
+
+def test_tokens_call_for_the_same_whatever_their_digits():
+    """Tokens with digits are known by their shape, so that numbers not seen before are looked up, and nothing is kept of each."""
+    rng = random.Random(23)
+    roles = taught(words=[("agnes", pii.GIVEN)])
+    fresh = lambda: taught(words=[("agnes", pii.GIVEN)])
+    parts = ["+", "(", "0", "00", "C/", "Box", "Agnes", "QX", "St", ",", "-", "/", ".", "2025-05-21T19:57:12Z", *"0123456789" * 2]
+    tokens = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(4000)]
+    assert all(roles.calling({t}).get(t, 0) == fresh().call(t) for t in tokens + tokens)
+    numbers = {f"+49-30-{n:07}" for n in range(5000)} | {f"{n}.5ms" for n in range(5000)}
+    assert len(roles.calling(numbers)) == 5000
+    assert len(roles.calls) + len(roles.idle) < 5000 > len(roles.shapes)
+
+
+def test_pairs_begin_with_capitals_that_nothing_is_joined_to():
+    text = "J. van der Berg met Ann O'Neil, Paul; x/Ann Lee D’Arcy Élan-Vital said @Bo Yu Ann. Then"
+    found = [(alone and "~" or a, comma, alone or b) for a, alone, comma, b in pii._PAIR.findall(text)]
+    assert found == [("~", "", "Berg"), ("Ann", "", "O'Neil"), ("O'Neil", ",", "Paul"), ("Lee", "", "D’Arcy"), ("D’Arcy", "", "Élan-Vital"), ("Yu", "", "Ann")]
